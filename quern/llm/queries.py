@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, shard_tree, source_mix, toxicity, url_reputation
+from . import byte_bpe, jaccard_join, shard_tree, source_mix, toxicity, url_reputation
 from .base import table
 
 
@@ -30,6 +30,10 @@ def op8_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
