@@ -1,14 +1,17 @@
 """Document fingerprints by invertible Bloom lookup tables.
 
 A text's paragraphs (lines; those of over LONG characters are cut after their
-sentences) become 64-bit digests. A table has three rows of cells; each digest
-is added to one cell of each row as a count, an XOR of digests and an XOR of
-check sums. Two versions' tables subtract cell by cell, and peeling cells that
-hold one digest recovers the digests in which the versions differ. When peeling
-ends before the table is empty, larger tables are tried.
-
-Long texts are dealt into 4^k segments by bits of the digests, with tables of
-the same size each, so that work follows the length of the text.
+sentences) become 63-bit digests. A table has three rows of cells; each digest
+is added to one cell of each row: to an XOR of digests, and to a sum that holds
+the count and a check. Tables subtract cell by cell, so the difference of two
+versions is built by adding one's digests and taking the other's away. Peeling
+cells that hold one digest recovers the digests in which the versions differ.
+
+A table has 24 cells for each segment of a few digests, dealt by bits of the
+digests, so that work follows the length of a text and no row holds a whole
+table of a long one. Segments that do not peel empty are rebuilt at 64 times the
+size, and so on. All tables are columns of hash aggregates; everything after the
+shuffle by document stays within its partition.
 
 Defined cases: null text counts as empty; an empty text's table is empty, and
 two empty texts are alike (1.0); repeated paragraphs count once; null doc_id
@@ -21,129 +24,134 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import pick
+from .base import pick, settle
 
 LONG = 300
-#: Cells in each of a table's three rows: the base, and the sizes tried in turn.
-BASE_CELLS, SIZES = 8, (16, 128, 1024)
-ROUNDS = 12
-#: Most digests of a text for each number of segments 4^k, k = 0, 1, ...
-PER_SEGMENT = 12
-MOST_SPLITS = 10
+ROWS, CELLS = 3, 8
+#: Digests of one version that a segment is meant for.
+PER_SEGMENT = 4
+#: Peeling rounds of each attempt; an attempt has GROWTH times the cells of the one before.
+ROUNDS, GROWTH = (6, 4, 4), 64
 #: Chunks of the id order: bounds are gathered on the driver, so many at most.
 MOST_CHUNKS = 4096
+_ONE, _CHECK = 1 << 40, (1 << 32) - 1
 
 
 def digests(text: Column) -> Column:
-    """The distinct 64-bit digests of a text's paragraphs."""
+    """The distinct 63-bit digests of a text's paragraphs."""
     lines = F.filter(F.split(text, "\n"), lambda x: x != "")
     cut = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > LONG, F.split(x, r"(?<=[.!?]) ")).otherwise(F.array(x))))
-    return F.array_distinct(F.transform(cut, lambda x: F.xxhash64(x)))
-
-
-def _cell(key: Column, row: int, cells: int) -> Column:
-    return F.shiftright(key, 10 * row).bitwiseAND(F.lit(cells - 1)).cast("int")
-
-
-def _xor(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, k: a.bitwiseXOR(k))
-
-
-def build(keys: Column, cells: int) -> Column:
-    """The table of an array of digests: cells (n, k, c), row after row."""
-
-    def row(r: int) -> Column:
-        def one(i: Column) -> Column:
-            own = F.filter(keys, lambda k: _cell(k, r, cells) == i)
-            return F.transform(
-                F.array(own), lambda o: F.struct(F.size(o).alias("n"), _xor(o).alias("k"), _xor(F.transform(o, lambda x: F.xxhash64(x))).alias("c"))
-            )[0]
-
-        return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), one)
-
-    return F.concat(row(0), row(1), row(2))
-
-
-def subtract(a: Column, b: Column) -> Column:
-    """One version's table less another's."""
-    return F.zip_with(
-        a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c"))
-    )
-
+    return F.array_distinct(F.transform(cut, lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << 63) - 1))))
 
-def peel(table: Column, cells: int) -> Column:
-    """(t, found): what is left of a difference, and how many digests came out."""
-    start = F.struct(table.alias("t"), F.lit(0).alias("found"), F.lit(True).alias("on"))
 
-    def step(s: Column, _: Column) -> Column:
-        pure = F.filter(s["t"], lambda x: (F.abs(x["n"]) == 1) & (x["c"] == F.xxhash64(x["k"])))
-        keys = F.array_distinct(F.transform(pure, lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"))))
+def _weight(key: Column) -> Column:
+    """What a digest adds to a cell's sum: one to the count, and its check."""
+    return F.lit(_ONE) + F.xxhash64(key).bitwiseAND(F.lit(_CHECK))
 
-        def taken(p: Column) -> Column:
-            def less(x: Column, i: Column) -> Column:
-                here = F.filter(
-                    p, lambda q: F.when(i < cells, _cell(q["k"], 0, cells) == i).when(i < 2 * cells, _cell(q["k"], 1, cells) + cells == i).otherwise(_cell(q["k"], 2, cells) + 2 * cells == i)
-                )
-                return F.when((x["n"] == 0) & (x["k"] == 0), x).otherwise(
-                    F.aggregate(
-                        here, x,
-                        lambda a, q: F.struct((a["n"] - q["n"]).alias("n"), a["k"].bitwiseXOR(q["k"]).alias("k"), a["c"].bitwiseXOR(F.xxhash64(q["k"])).alias("c")),
-                    )
-                )
 
-            return F.struct(F.transform(s["t"], less).alias("t"), (s["found"] + F.size(p)).alias("found"), (F.size(p) > 0).alias("on"))
+def _names() -> list[tuple[int, int, str, str]]:
+    return [(r, i, f"k{r}_{i}", f"w{r}_{i}") for r in range(ROWS) for i in range(CELLS)]
 
-        return F.when(~s["on"], s).otherwise(F.transform(F.array(keys), taken)[0])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
+def _sums(key: Column, weight: Column, base: Column | None = None) -> list[Column]:
+    """Aggregates that add digests to cells; where ``base`` holds, the row is a table itself."""
+    out = []
+    for r, i, k, w in _names():
+        here = F.shiftright(key, 3 * r).bitwiseAND(F.lit(CELLS - 1)) == i
+        if base is None:
+            out += [F.bit_xor(F.when(here, key).otherwise(0)).alias(k), F.sum(F.when(here, weight).otherwise(0)).alias(w)]
+        else:
+            out += [
+                F.bit_xor(F.when(base, F.col(k)).when(here, key).otherwise(0)).alias(k),
+                F.sum(F.when(base, F.col(w)).when(here, weight).otherwise(0)).alias(w),
+            ]
+    return out
 
 
-def differing(a: Column, b: Column) -> Column:
-    """How many digests are in one of two segments only, by tables that grow until peeling empties them."""
+def peel(tables: DataFrame, by: list[str], rounds: int) -> DataFrame:
+    """(by, found, clean): digests that come out of each difference table, and whether it ends empty.
 
-    def attempt(size: int, rest: tuple[int, ...]) -> Column:
-        done = F.array(peel(subtract(build(a, size), build(b, size)), size))
-        if not rest:
-            # What never came out is counted by the fullest row, one digest a cell at least.
-            left = lambda s: F.size(F.filter(s["t"], lambda x: (x["n"] != 0) | (x["k"] != 0)))
-            return F.transform(done, lambda s: s["found"] + F.ceil(left(s) / 3).cast("int"))[0]
-        more = attempt(rest[0], rest[1:])
-        clean = lambda s: ~F.exists(s["t"], lambda x: (x["n"] != 0) | (x["k"] != 0))
-        return F.transform(done, lambda s: F.when(clean(s), s["found"]).otherwise(more))[0]
-
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.size(a) + F.size(b)).otherwise(attempt(SIZES[0], SIZES[1:]))
-
-
-def segments(keys: Column, splits: Column) -> Column:
-    """The digests dealt into 4^splits segments, two bits at a time."""
-
-    def deal(groups: Column, level: Column) -> Column:
-        bit = F.lit(30) + 2 * level
-        one = lambda g, s: F.filter(g, lambda k: F.call_function("shiftright", k, bit).bitwiseAND(F.lit(3)) == s)
-        return F.flatten(F.transform(groups, lambda g: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda s: one(g, s))))
-
-    levels = F.slice(F.sequence(F.lit(0), F.lit(MOST_SPLITS - 1)), F.lit(1), splits)
-    return F.aggregate(levels, F.array(keys), deal)
-
-
-def likeness(a: Column, b: Column) -> Column:
-    """Share of digests that two versions have in common, from 0 to 1, by what their tables' difference gives back."""
-    most = F.greatest(F.size(a), F.size(b), F.lit(1))
-    splits = F.greatest(F.lit(0), F.ceil(F.log(4.0, most / F.lit(float(PER_SEGMENT))))).cast("int")
-    each = F.zip_with(segments(a, splits), segments(b, splits), differing)
-    d = F.aggregate(each, F.lit(0), lambda s, x: s + x)
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d))
-
-
-def fingerprint(keys: Column) -> Column:
-    """The base table as text: digest count, then each cell's count, digests and checks, in hexadecimals."""
-    cells = F.transform(build(keys, BASE_CELLS), lambda x: F.concat_ws(".", F.hex(x["n"]), F.hex(x["k"]), F.substring(F.lpad(F.hex(x["c"]), 16, "0"), 9, 8)))
-    return F.concat(F.size(keys).cast("string"), F.lit(":"), F.array_join(cells, ","))
+    A digest that the other version has is written as its complement. Each round
+    takes the digests of all cells that hold one out of every table.
+    """
+    cells = [F.col(k) for *_, k, _ in _names()], [F.col(w) for *_, w in _names()]
+    tables = tables.withColumn("found", F.lit(0).cast("long"))
+    for _ in range(rounds):
+        pure = [F.when(w == _weight(k), k).when(w == -_weight(k), F.bitwise_not(k)) for k, w in zip(*cells, strict=True)]
+        out = F.array_distinct(F.array_compact(F.array(*pure)))
+        rows = tables.withColumn("e", F.explode(F.array_append(out, F.lit(None).cast("long"))))
+        rows = rows.withColumn("key", F.when(F.col("e") < 0, F.bitwise_not("e")).otherwise(F.col("e")))
+        rows = rows.withColumn("weight", F.when(F.col("e") < 0, _weight(F.col("key"))).otherwise(-_weight(F.col("key"))))
+        base = F.col("e").isNull()
+        tables = rows.groupBy(*by).agg(*_sums(F.col("key"), F.col("weight"), base), F.sum(F.when(base, F.col("found")).otherwise(1)).alias("found"))
+    empty = None
+    for w in cells[1][:CELLS]:  # each digest is in every row
+        empty = (w == 0) if empty is None else empty & (w == 0)
+    return tables.select(*by, "found", empty.alias("clean"))
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    """(uid, pair, splits, key, weight): both versions of each pair, the other's taken away."""
+
+    def side(name: str, pair: int, plus: bool) -> Column:
+        return F.transform(name, lambda k: F.struct(F.lit(pair).alias("pair"), F.lit(plus).alias("plus"), k.alias("key")))
+
+    every = F.concat(side("own", 0, True), side("new", 0, False), side("own", 1, True), side("after", 1, False))
+    rows = rows.select("uid", "splits", F.inline(every))
+    return rows.select("uid", "pair", "splits", "key", F.when(F.col("plus"), _weight(F.col("key"))).otherwise(-_weight(F.col("key"))).alias("weight"))
+
+
+def differences(rows: DataFrame) -> DataFrame:
+    """(uid, pair, d): digests in one version only, for pairs 0 (own, new) and 1 (own, after).
+
+    Only segments that failed go to the next, larger attempt. What the last one
+    leaves is counted as one digest a table.
+    """
+    by = ["uid", "pair", "segment"]
+    rows = rows.repartition("uid")
+    done, failed, bits = [], None, 62
+    signed = _signed(rows)
+    for attempt, rounds in enumerate(ROUNDS):
+        if failed is None:
+            signed = signed.withColumn("segment", F.pmod(F.shiftright("key", 16), F.col("splits")))
+        else:
+            signed = signed.join(failed, by, "left_semi")
+            bits -= 6
+            signed = signed.withColumn("segment", F.col("segment") * GROWTH + F.shiftright("key", bits - 6).bitwiseAND(F.lit(GROWTH - 1)))
+        tables = signed.groupBy(*by).agg(*_sums(F.col("key"), F.col("weight")))
+        result = peel(tables, by, rounds)
+        last = attempt == len(ROUNDS) - 1
+        if not last:
+            result = settle(result, "peeled")
+        done.append(result.select("uid", "pair", F.when(F.col("clean"), F.col("found")).otherwise(F.col("found") + 1 if last else 0).alias("d")))
+        failed = result.where(~F.col("clean")).select(*by)
+        if not last and failed.isEmpty():
+            break
+    whole = done[0]
+    for more in done[1:]:
+        whole = whole.union(more)
+    return whole.groupBy("uid", "pair").agg(F.sum("d").alias("d"))
+
+
+def _as_text(n: Column) -> Column:
+    """A table as text: the number of digests, then each cell's sum and digests, in hexadecimals."""
+    cells = [F.concat(F.hex(F.col(w)), F.lit("."), F.hex(F.col(k))) for *_, k, w in _names()]
+    return F.concat(n.cast("string"), F.lit(":"), F.concat_ws(",", *cells))
+
+
+def base_tables(rows: DataFrame) -> DataFrame:
+    """(uid, fingerprint, edited_fingerprint): the 24-cell tables of own and new."""
+    own = F.transform("own", lambda k: F.struct(F.lit(0).alias("version"), k.alias("key")))
+    new = F.transform("new", lambda k: F.struct(F.lit(1).alias("version"), k.alias("key")))
+    keys = rows.select("uid", F.inline(F.concat(own, new)))
+    tables = keys.groupBy("uid", "version").agg(F.count("*").alias("n"), *_sums(F.col("key"), _weight(F.col("key"))))
+    text = tables.select("uid", "version", _as_text(F.col("n")).alias("t"))
+    pick_one = lambda v: F.max(F.when(F.col("version") == v, F.col("t")))
+    return text.groupBy("uid").agg(pick_one(0).alias("fingerprint"), pick_one(1).alias("edited_fingerprint"))
 
 
 def with_next(docs: DataFrame, rows_per_chunk: int = 1000) -> DataFrame:
-    """Each row of (doc_id, text) with the digests of its text, and text and digests of the next by doc_id.
+    """Each row of (doc_id, text) with a number of its own, and the next text by doc_id.
 
     The id order is cut into chunks at quantiles; the first rows of each chunk
     go to the chunk before, too (the first of all to the last). So one shuffle
@@ -174,7 +182,9 @@ def with_next(docs: DataFrame, rows_per_chunk: int = 1000) -> DataFrame:
     rows = rows.select("doc_id", "text", F.inline(places))
     order = Window.partitionBy("chunk").orderBy("tail", F.col("doc_id").asc_nulls_last(), "text")
     rows = rows.withColumn("next_text", F.lead("text").over(order))
-    return rows.where(~F.col("tail")).select("doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
+    uid = F.col("chunk").cast("long") * (1 << 40) + F.row_number().over(order)
+    rows = rows.withColumn("uid", uid)
+    return rows.where(~F.col("tail")).select("uid", "doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -182,12 +192,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = with_next(pick(docs, doc_id="long", text="string"))
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
+    rows = rows.select("uid", "doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
     rows = rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        "uid", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("new"), digests(F.col("next_text")).alias("after"),
     )
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"),
+    most = F.greatest(F.size("own"), F.size("new"), F.size("after"))
+    rows = settle(rows.withColumn("splits", F.greatest(F.lit(1), F.ceil(most / PER_SEGMENT)).cast("long")), "digests")
+    keys = rows.select("uid", "splits", "own", "new", "after")
+    d = differences(keys).groupBy("uid").agg(
+        F.sum(F.when(F.col("pair") == 0, F.col("d"))).alias("d0"), F.sum(F.when(F.col("pair") == 1, F.col("d"))).alias("d1")
+    )
+    out = rows.repartition("uid").join(base_tables(keys.repartition("uid")), "uid", "left").join(d, "uid", "left")
+    empty = F.lit("0:" + ",".join(["0.0"] * (ROWS * CELLS)))
+
+    def near(other: str, d: str) -> Column:
+        both = F.size("own") + F.size(other)
+        return F.when(both == 0, F.lit(1.0)).otherwise((both - F.col(d)) / (both + F.col(d)))
+
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", F.coalesce("fingerprint", empty).alias("fingerprint"),
+        F.coalesce("edited_fingerprint", empty).alias("edited_fingerprint"), near("new", "d0").alias("near_edited"), near("after", "d1").alias("near_next"),
     )
