@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, iblt, jaccard_join, shard_tree, source_mix, toxicity, url_reputation
+from . import byte_bpe, iblt, jaccard_join, secret_forest, shard_tree, source_mix, toxicity, url_reputation
 from .base import table
 
 
@@ -38,6 +38,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.scan(table(spark, sf_dir, "documents"), secret_forest.train(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
