@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, iblt, jaccard_join, secret_forest, shard_tree, source_mix, toxicity, url_reputation
+from . import byte_bpe, hash_index, iblt, jaccard_join, quote_links, secret_forest, shard_tree, source_mix, toxicity, url_reputation
 from .base import table
 
 
+def op1_hash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_index.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op2_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.threads(table(spark, sf_dir, "conversations"))
+
+
 def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(table(spark, sf_dir, "pages"), url_reputation.outcomes_from_labels(table(spark, sf_dir, "labels")))
 

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import n_words, pick, unit
+from .base import n_words, pick, settle, unit
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -90,5 +90,23 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence
     chosen = F.col("before") + F.col("upto") - F.col("size") / 2 <= rest
     times = epochs + F.when(chosen & (rest > 0), F.lit(1)).otherwise(F.lit(0))
     return rows.select(
-        "doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.cast("int").alias("times")
+        "doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"),
+        times.cast("int").alias("times"), epochs.cast("int").alias("epochs"), "source", "draw",
     )
+
+
+def apply_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence[float] = WEIGHTS, seed: str = "mix") -> DataFrame:
+    """The mixed corpus: every document as often as it is taken, with the columns of ``docs``.
+
+    The last key taken of each source decides, so the texts are not shuffled: a
+    row needs its own key and its source's line of a small table. Rows with
+    equal keys are taken together.
+    """
+    rated = mix(docs, share, cap, weights, seed)
+    goal = settle(rated.groupBy("source").agg(F.first("epochs").alias("epochs"), F.max(F.when(F.col("times") > F.col("epochs"), F.col("draw"))).alias("last")), "goals")
+    goal = goal.select(F.col("source").alias("__source"), F.col("epochs").alias("__epochs"), F.col("last").alias("__last"))
+    draw = -F.ln(unit(seed, F.col("doc_id"))) / F.coalesce(quality_weight(F.col("text")), F.lit(0.05))
+    out = docs.withColumn("__draw", draw).join(goal, F.col("source").eqNullSafe(F.col("__source")))
+    times = F.col("__epochs") + F.when(F.col("__draw") <= F.col("__last"), F.lit(1)).otherwise(F.lit(0))
+    out = out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
