@@ -1,26 +1,47 @@
-"""A corpus pipeline over documents: STAGES in order, each reading what the one before wrote."""
+"""A corpus pipeline over documents: STAGES in order, each reading what the one before wrote.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of docs. All but
+the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import byte_bpe, toxicity
+from quern.llm import byte_bpe, jaccard_join, secret_forest, source_mix, toxicity
 from quern.llm.base import shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Documents that the toxicity model rejects go."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the least doc_id stays; rows without doc_id stay."""
+    found = jaccard_join.join_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
+    return docs.join(found, docs["doc_id"] == found["__copy"], "left_anti")
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts are masked."""
+    return secret_forest.redact(docs, secret_forest.train(spark))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix takes it."""
+    return source_mix.apply_mix(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document left."""
+    """Token counts and digests of every document."""
     return byte_bpe.encode_documents(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("byte_bpe", encode)]
+STAGES = [("toxicity", drop_toxic), ("jaccard_join", drop_near_copies), ("secret_forest", hide_secrets), ("source_mix", mix_sources), ("byte_bpe", encode)]
 
 #: The learned stages are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None
