@@ -12,9 +12,11 @@ The work is kept from growing with the square of a group:
 * equal sets are one class from the start;
 * near copies first meet at hubs, the least document of each bottom-k value;
   verified links to hubs make clusters, so dense groups shrink to one cluster;
+* clusters that share prefix shingles meet at hubs, too, for STAR_ROUNDS rounds;
 * the exact prefix join then looks only at pairs across clusters: shingles whose
-  holders are all in one cluster go before any pair is made, and of two clusters
-  the likeliest pair is verified first.
+  holders are all in one cluster go before any pair is made, a shared shingle
+  counts only within the prefixes that the two sizes ask for, and of two
+  clusters the likeliest pair is verified first.
 
 Document frequencies are counted over all documents in a sketch of fixed size;
 they set the order only, so that collisions cost time and never a link.
@@ -44,6 +46,8 @@ CELLS, BITS = 1 << 20, 1 << 23
 SEGMENTS = 32
 KEYS = 4
 MOST_MATCHES = 8
+#: Rounds of linking clusters at hubs before all pairs across clusters are made.
+STAR_ROUNDS = 2
 BATCH = 400
 
 
@@ -168,10 +172,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
 def verify(docs: DataFrame, pairs: DataFrame, num: int, den: int, width: int) -> DataFrame:
     """Those of the pairs (u, v) that are linked, by their whole sets."""
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v"))
-    sets = _sets(docs, ends, width)
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u")
-    both = both.join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
+    side = lambda c: _sets(docs, pairs.select(F.col(c).alias("node")), width).select(F.col("node").alias(c), F.col("s").alias("s" + c))
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
     common = F.size(F.array_intersect("su", "sv"))
     checked = both.select("u", "v", common.alias("c"), (F.size("su") + F.size("sv")).alias("t"))
     return checked.where(F.col("c") * den >= (F.col("t") - F.col("c")) * num).select("u", "v").distinct()
@@ -208,32 +210,82 @@ def links_and_classes(docs: DataFrame, num: int = 75, den: int = 100, width: int
 
     known = classes.select("node").distinct().join(label, "node", "left").select("node", F.coalesce("label", "node").alias("cluster"))
     heads = docs.where("doc_id IS NOT NULL").mapInArrow(prefixes(freq, num, den, width), "doc_id long, n long, match int, tokens array<long>").where("n > 0")
-    heads = heads.join(known, heads["doc_id"] == known["node"])
-    base = F.col("n") - F.ceil(F.col("n") * num / den)
-    tokens = heads.select("node", "cluster", "n", "match", base.alias("base"), F.posexplode("tokens").alias("pos", "token"))
-    tokens = tokens.select(
-        "token", "node", "cluster", (F.col("n") * 256 + F.col("match") * 16 + F.greatest(F.lit(1), F.col("pos") - F.col("base") + 1)).cast("long").alias("meta")
-    )
+    heads = settle(heads.join(known, heads["doc_id"] == known["node"]).drop("doc_id"), "prefixes")
+    tokens = heads.select("node", "cluster", "n", "match", F.posexplode("tokens").alias("pos", "token"))
+    tokens = tokens.select("token", "node", "cluster", (F.col("n") * (1 << 32) + F.col("pos") * 16 + F.col("match")).cast("long").alias("meta"))
     mixed = tokens.groupBy("token").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a <> b").select("token")
     kept = settle(tokens.join(mixed, "token"), "tokens")
+    for number in range(STAR_ROUNDS):
+        if kept.isEmpty():
+            break
+        stars = settle(_star_pairs(kept, number, num, den), "star-pairs")
+        more = settle(verify(docs, stars, num, den, width), "star-links")
+        if more.isEmpty():
+            break
+        hub_links = settle(hub_links.union(more), "links")
+        kept = settle(_relabelled(kept, components(hub_links)), "tokens")
     pairs = settle(_cross_pairs(kept, num, den), "pairs")
     return rows, _resolve(docs, pairs, hub_links, num, den, width)
 
 
+def _relabelled(kept: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows under the clusters of now, without shingles whose holders are all in one cluster."""
+    now = kept.join(label, "node", "left").select("token", "node", F.coalesce("label", "cluster").alias("cluster"), "meta")
+    now = settle(now, "relabelled")
+    mixed = now.groupBy("token").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a <> b").select("token")
+    return now.join(mixed, "token").select("token", "node", "cluster", "meta")
+
+
+def _parts(side: str) -> list:
+    """Size, place in the order, and match of a row, named for one side of a pair."""
+    size, rest = F.shiftright("meta", 32), F.col("meta").bitwiseAND(F.lit((1 << 32) - 1))
+    return [F.col("node").alias(side), size.alias("n" + side), F.shiftright(rest, 4).alias("p" + side), rest.bitwiseAND(F.lit(15)).alias("m" + side)]
+
+
+def _meets(num: int, den: int):
+    """Whether a shared shingle lies in both prefixes that the two sizes ask for.
+
+    Linked sets share ``need`` = ceil(num (nu + nv) / (num + den)) shingles, so
+    they share m of those that come before ``n - need + m`` in both.
+    """
+    need = F.ceil((F.col("nu") + F.col("nv")) * num / (num + den))
+    m = F.least("mu", "mv")
+    sizes = F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num
+    return sizes & (F.col("pu") < F.col("nu") - need + m) & (F.col("pv") < F.col("nv") - need + m)
+
+
+def _star_pairs(kept: DataFrame, number: int, num: int, den: int) -> DataFrame:
+    """For each cluster at a shingle one member, paired with the member of the shingle's hub cluster.
+
+    These pairs grow with the rows, not with their squares. Each round draws
+    other members and hubs; of a cluster's pairs the one that meets most often is kept.
+    """
+    drawn = F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "meta")
+    members = kept.groupBy("token", "cluster").agg(F.min(drawn).alias("m"))
+    hubs = members.groupBy("token").agg(F.min(F.struct(F.xxhash64("cluster", F.lit(number)).alias("h"), "cluster", "m")).alias("hub"))
+    met = members.join(hubs, "token").where(F.col("cluster") != F.col("hub.cluster"))
+    met = met.select("cluster", F.col("hub.m").alias("o"), F.col("m.node").alias("node"), F.col("m.meta").alias("meta")).select("cluster", "o", *_parts("u"))
+    met = met.select("cluster", "u", "nu", "pu", "mu", F.col("o.node").alias("node"), F.col("o.meta").alias("meta")).select("cluster", "u", "nu", "pu", "mu", *_parts("v"))
+    counted = met.where(_meets(num, den)).groupBy("u", "v", "cluster").agg(F.count("*").alias("c"))
+    best = counted.groupBy("cluster").agg(F.max(F.struct("c", "u", "v")).alias("b"))
+    return best.select("b.u", "b.v")
+
+
 def _cross_pairs(kept: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of nodes of different clusters that share enough prefix shingles.
 
-    Clusters meet first, then their members, so that a large cluster that shares
-    a shingle with one stranger makes pairs with the stranger only.
+    The smaller set of a pair (the lesser node of equals) comes by the shorter
+    prefix that a partner of its size or more asks for, so that shingles common
+    to a large group meet only from the few sets that hold them so early.
     """
-    by = kept.select("token", "cluster").distinct()
-    meet = by.select("token", F.col("cluster").alias("ca")).join(by.select("token", F.col("cluster").alias("cb")), "token").where("ca < cb")
-    part = lambda s: [F.col("cluster").alias("c" + s), F.col("node").alias(s), F.expr("meta div 256").alias("n" + s), F.expr("(meta div 16) % 16").alias("m" + s), (F.col("meta") % 16).alias("p" + s)]
-    pairs = meet.join(kept.select("token", *part("u")).withColumnRenamed("cu", "ca"), ["token", "ca"])
-    pairs = pairs.join(kept.select("token", *part("v")).withColumnRenamed("cv", "cb"), ["token", "cb"])
-    fits = (F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num) & (F.greatest("pu", "pv") <= F.least("mu", "mv"))
-    found = pairs.where(fits).groupBy("u", "v", "nu", "nv", "ca", "cb").agg(F.count("*").alias("shared"), F.first(F.least("mu", "mv")).alias("match"))
-    return found.where("shared >= match").select("u", "v", "ca", "cb", "shared")
+    least = F.ceil(F.col("nu") * (2 * num) / (num + den))
+    early = kept.select("token", F.col("cluster").alias("ca"), *_parts("u")).where(F.col("pu") < F.col("nu") - least + F.col("mu"))
+    every = kept.select("token", F.col("cluster").alias("cb"), *_parts("v"))
+    order = (F.col("nu") < F.col("nv")) | ((F.col("nu") == F.col("nv")) & (F.col("u") < F.col("v")))
+    met = early.join(every, "token").where(order & (F.col("ca") != F.col("cb")) & _meets(num, den))
+    found = met.groupBy("u", "v", "ca", "cb").agg(F.count("*").alias("shared"), F.max(F.least("mu", "mv")).alias("match"))
+    found = found.where("shared >= match")
+    return found.select("u", "v", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), "shared")
 
 
 def _resolve(docs: DataFrame, pairs: DataFrame, links: DataFrame, num: int, den: int, width: int) -> DataFrame:
