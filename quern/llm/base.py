@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Words of a text: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark then deletes a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -40,11 +43,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage in a way that survives lost executors. The files go
-    at the end of the Python process.
+    at the end of the Python process; the shuffle files of the write, which
+    nothing needs once the table stands, go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
