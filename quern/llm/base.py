@@ -55,18 +55,30 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     finally:
         spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is None or sc._jsc.sc().isStopped():
+        return
+    jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def release(*settled: DataFrame) -> None:
+    """Delete tables of ``settle`` that nothing to come reads."""
+    for df in settled:
+        _written.remove((df.sparkSession, df._settled))
+        _delete(df.sparkSession, df._settled)
 
 
 def drop_settled() -> None:
     """Delete what ``settle`` wrote, as far as the session still lives."""
     while _written:
-        spark, path = _written.pop()
-        sc = spark.sparkContext
-        if sc._jsc is None or sc._jsc.sc().isStopped():
-            continue
-        jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jpath, True)
+        _delete(*_written.pop())
 
 
 atexit.register(drop_settled)

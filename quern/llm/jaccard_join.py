@@ -14,8 +14,9 @@ The work is kept from growing with the square of a group:
   verified links to hubs make clusters, so dense groups shrink to one cluster;
 * clusters that share prefix shingles meet at hubs, too, for STAR_ROUNDS rounds;
 * the exact prefix join then looks only at pairs across clusters: shingles whose
-  holders are all in one cluster go before any pair is made, a shared shingle
-  counts only within the prefixes that the two sizes ask for, and of two
+  holders are all in one cluster go before any pair is made, pairs are made at
+  the places where the first shared shingle of linked sets must be, shared
+  shingles count only within the prefixes that the two sizes ask for, and of two
   clusters the likeliest pair is verified first.
 
 Document frequencies are counted over all documents in a sketch of fixed size;
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import pick, settle
+from .base import pick, release, settle
 from .graph import components
 from .shingles import scramble, shingle_sets
 
@@ -211,10 +212,13 @@ def links_and_classes(docs: DataFrame, num: int = 75, den: int = 100, width: int
     known = classes.select("node").distinct().join(label, "node", "left").select("node", F.coalesce("label", "node").alias("cluster"))
     heads = docs.where("doc_id IS NOT NULL").mapInArrow(prefixes(freq, num, den, width), "doc_id long, n long, match int, tokens array<long>").where("n > 0")
     heads = settle(heads.join(known, heads["doc_id"] == known["node"]).drop("doc_id"), "prefixes")
-    tokens = heads.select("node", "cluster", "n", "match", F.posexplode("tokens").alias("pos", "token"))
+    # A pair's first shared shingle is in the prefix of match 1; the longer prefixes only count.
+    first = F.slice("tokens", 1, F.least(F.size("tokens"), F.size("tokens") - F.col("match") + 1))
+    tokens = heads.select("node", "cluster", "n", "match", F.posexplode(first).alias("pos", "token"))
     tokens = tokens.select("token", "node", "cluster", (F.col("n") * (1 << 32) + F.col("pos") * 16 + F.col("match")).cast("long").alias("meta"))
-    mixed = tokens.groupBy("token").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a <> b").select("token")
+    mixed = settle(_mixed(tokens), "mixed")  # its shuffle goes before the next begins
     kept = settle(tokens.join(mixed, "token"), "tokens")
+    release(mixed)
     for number in range(STAR_ROUNDS):
         if kept.isEmpty():
             break
@@ -223,17 +227,25 @@ def links_and_classes(docs: DataFrame, num: int = 75, den: int = 100, width: int
         if more.isEmpty():
             break
         hub_links = settle(hub_links.union(more), "links")
-        kept = settle(_relabelled(kept, components(hub_links)), "tokens")
-    pairs = settle(_cross_pairs(kept, num, den), "pairs")
+        before, kept = kept, settle(_relabelled(kept, components(hub_links)), "tokens")
+        release(before)
+    met = settle(_cross_pairs(kept, num, den), "met")
+    release(kept)
+    pairs = settle(_matched(met, heads, num, den), "pairs")
+    release(met, heads)
     return rows, _resolve(docs, pairs, hub_links, num, den, width)
 
 
+def _mixed(tokens: DataFrame) -> DataFrame:
+    """The shingles that more than one cluster holds."""
+    return tokens.groupBy("token").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a <> b").select("token")
+
+
 def _relabelled(kept: DataFrame, label: DataFrame) -> DataFrame:
     """The rows under the clusters of now, without shingles whose holders are all in one cluster."""
     now = kept.join(label, "node", "left").select("token", "node", F.coalesce("label", "cluster").alias("cluster"), "meta")
     now = settle(now, "relabelled")
-    mixed = now.groupBy("token").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a <> b").select("token")
-    return now.join(mixed, "token").select("token", "node", "cluster", "meta")
+    return now.join(_mixed(now), "token").select("token", "node", "cluster", "meta")
 
 
 def _parts(side: str) -> list:
@@ -242,16 +254,20 @@ def _parts(side: str) -> list:
     return [F.col("node").alias(side), size.alias("n" + side), F.shiftright(rest, 4).alias("p" + side), rest.bitwiseAND(F.lit(15)).alias("m" + side)]
 
 
+def _need(num: int, den: int):
+    """Shingles that sets of the two sizes share if they are linked."""
+    return F.ceil((F.col("nu") + F.col("nv")) * num / (num + den))
+
+
 def _meets(num: int, den: int):
-    """Whether a shared shingle lies in both prefixes that the two sizes ask for.
+    """Whether a shared shingle may be the first that linked sets of the two sizes share.
 
-    Linked sets share ``need`` = ceil(num (nu + nv) / (num + den)) shingles, so
-    they share m of those that come before ``n - need + m`` in both.
+    Linked sets share ``need`` shingles; ``need - 1`` of them come after the
+    first in both orders, so that it comes before ``n - need + 1`` in both.
     """
-    need = F.ceil((F.col("nu") + F.col("nv")) * num / (num + den))
-    m = F.least("mu", "mv")
+    need = _need(num, den)
     sizes = F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num
-    return sizes & (F.col("pu") < F.col("nu") - need + m) & (F.col("pv") < F.col("nv") - need + m)
+    return sizes & (F.col("pu") <= F.col("nu") - need) & (F.col("pv") <= F.col("nv") - need)
 
 
 def _star_pairs(kept: DataFrame, number: int, num: int, den: int) -> DataFrame:
@@ -272,20 +288,32 @@ def _star_pairs(kept: DataFrame, number: int, num: int, den: int) -> DataFrame:
 
 
 def _cross_pairs(kept: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of nodes of different clusters that share enough prefix shingles.
+    """Pairs of nodes of different clusters that share a shingle where linked sets share their first.
 
     The smaller set of a pair (the lesser node of equals) comes by the shorter
     prefix that a partner of its size or more asks for, so that shingles common
     to a large group meet only from the few sets that hold them so early.
     """
     least = F.ceil(F.col("nu") * (2 * num) / (num + den))
-    early = kept.select("token", F.col("cluster").alias("ca"), *_parts("u")).where(F.col("pu") < F.col("nu") - least + F.col("mu"))
+    early = kept.select("token", F.col("cluster").alias("ca"), *_parts("u")).where(F.col("pu") <= F.col("nu") - least)
     every = kept.select("token", F.col("cluster").alias("cb"), *_parts("v"))
     order = (F.col("nu") < F.col("nv")) | ((F.col("nu") == F.col("nv")) & (F.col("u") < F.col("v")))
     met = early.join(every, "token").where(order & (F.col("ca") != F.col("cb")) & _meets(num, den))
-    found = met.groupBy("u", "v", "ca", "cb").agg(F.count("*").alias("shared"), F.max(F.least("mu", "mv")).alias("match"))
-    found = found.where("shared >= match")
-    return found.select("u", "v", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), "shared")
+    return met.select("u", "v", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct()
+
+
+def _matched(met: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs that share the smaller match of the two, each within its prefix of that match.
+
+    Linked sets share m of the shingles that come before ``n - need + m`` in
+    both, for any m.
+    """
+    side = lambda c: heads.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("match").alias("m" + c), F.col("tokens").alias("t" + c))
+    both = met.join(side("u"), "u").join(side("v"), "v").withColumn("match", F.least("mu", "mv").cast("long"))
+    part = lambda c: F.slice("t" + c, F.lit(1), F.greatest(F.lit(0), F.col("n" + c) - F.col("need") + F.col("match")).cast("int"))
+    both = both.withColumn("need", _need(num, den))
+    found = both.select("u", "v", "ca", "cb", "match", F.size(F.array_intersect(part("u"), part("v"))).alias("shared")).where("shared >= match")
+    return found.groupBy("u", "v", "ca", "cb").agg(F.max("shared").alias("shared"))
 
 
 def _resolve(docs: DataFrame, pairs: DataFrame, links: DataFrame, num: int, den: int, width: int) -> DataFrame:
