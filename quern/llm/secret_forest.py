@@ -9,7 +9,8 @@ and look-alikes such as commit ids, UUIDs, paths, versions and identifiers. Its
 trees are read into one SQL expression, so that scanning is a projection: no
 shuffle, no Python.
 
-Equal candidates of one text are one finding, judged where they first stand.
+Every occurrence of a candidate is a finding of its own, judged where it stands.
+``redact`` masks a value throughout its text if any of its occurrences is secret.
 
 Defined cases: null and empty texts have no findings and stay as they are;
 repeated rows each have theirs; an empty table gives no rows; extra columns are
@@ -30,6 +31,10 @@ from .base import pick
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[+/_-]*[A-Za-z0-9+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{12,}={0,2}"
 #: Characters of the text before and after a candidate that count as its neighbours.
 BEFORE, AFTER = 32, 12
+#: Candidates that may stand among those neighbours on either side; each takes 4 characters or more.
+NEAR = 8
+#: Steps that are summed in one run.
+BLOCK = 256
 #: Fragments of words that names and identifiers are made of.
 WORDS = (
     "user|name|test|example|http|www|html|image|photo|data|file|page|index|version|release|build|time|date|type|list|item|code|text|"
@@ -131,17 +136,36 @@ def score(forest: list, x: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [walk(t) for t in forest]) / F.lit(float(len(forest)))
 
 
-def findings(text: Column, forest: list) -> Column:
-    """An array of (value, start, score) for a text's distinct candidates; start counts characters from 0."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+def starts(steps: Column) -> Column:
+    """The sum of the steps before each one, in blocks so that the work grows with their number."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    running = lambda base, xs: F.aggregate(xs, F.array(base), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1)), F.lit(BLOCK)), lambda i: F.slice(steps, i, F.lit(BLOCK)))
+    bases = running(F.lit(0), F.transform(blocks, total))
+    return F.flatten(F.transform(blocks, lambda xs, i: F.slice(running(F.get(bases, i), xs), F.lit(1), F.size(xs))))
+
 
-    def place(value: Column) -> Column:
-        at = F.call_function("instr", text, value)
-        low = F.greatest(at - BEFORE, F.lit(1))
-        return F.struct(
-            value.alias("value"), (at - 1).alias("start"), F.substring(text, low, at - low).alias("before"),
-            F.substring(text, at + F.length(value), F.lit(AFTER)).alias("after"),
-        )
+def findings(text: Column, forest: list) -> Column:
+    """An array of (value, start, score) for a text's candidates, each where it stands; start counts characters from 0."""
+    # The text is gap, candidate, gap, ..., candidate, gap.
+    walk = F.struct(F.split(text, CANDIDATE, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"))
+
+    def placed(w: Column) -> Column:
+        pieces = F.zip_with(F.slice(w["gaps"], F.lit(1), F.size(w["found"])), w["found"], lambda g, v: F.concat(g, v))
+        return F.struct(w["gaps"].alias("gaps"), w["found"].alias("found"), pieces.alias("pieces"), starts(F.transform(pieces, F.length)).alias("starts"))
+
+    def places(w: Column) -> Column:
+        def place(value: Column, i: Column) -> Column:
+            gap = F.get(w["gaps"], i)
+            # Candidates and their gaps are short at times, so that neighbours reach over several.
+            past = F.concat(F.array_join(F.slice(w["pieces"], F.greatest(i - NEAR, F.lit(0)) + 1, F.least(i, F.lit(NEAR))), ""), gap)
+            ahead = F.concat(F.get(w["gaps"], i + 1), F.array_join(F.zip_with(F.slice(w["found"], i + 2, F.lit(NEAR)), F.slice(w["gaps"], i + 3, F.lit(NEAR)), lambda v, g: F.concat(v, F.coalesce(g, F.lit("")))), ""))
+            return F.struct(
+                value.alias("value"), (F.get(w["starts"], i) + F.length(gap)).alias("start"),
+                F.right(past, F.lit(BEFORE)).alias("before"), F.left(ahead, F.lit(AFTER)).alias("after"),
+            )
+
+        return F.transform(w["found"], place)
 
     def measure(p: Column) -> Column:
         return F.struct(p["value"].alias("value"), p["start"].alias("start"), F.array(*features(p["value"], p["before"], p["after"])).alias("x"))
@@ -149,7 +173,9 @@ def findings(text: Column, forest: list) -> Column:
     def judged(p: Column) -> Column:
         return F.struct(p["value"].alias("value"), p["start"].alias("start"), score(forest, [p["x"][i] for i in range(len(FEATURES))]).alias("score"))
 
-    return F.transform(F.transform(F.transform(found, place), measure), judged)
+    # A transform over one element names a value that is used often.
+    found = F.flatten(F.transform(F.transform(F.array(walk), placed), places))
+    return F.transform(F.transform(found, measure), judged)
 
 
 def scan(docs: DataFrame, forest: list, threshold: float = 0.5) -> DataFrame:
@@ -168,7 +194,8 @@ def redact(docs: DataFrame, forest: list, threshold: float = 0.5) -> DataFrame:
     ``n_chars``, where there is one, follows the text.
     """
     secrets = F.filter(findings(F.col("text"), forest), lambda f: f["score"] >= threshold)
-    hidden = F.aggregate(secrets, F.col("text"), lambda t, f: F.replace(t, f["value"], F.lit(MASK)))
+    values = F.array_distinct(F.transform(secrets, lambda f: f["value"]))
+    hidden = F.aggregate(values, F.col("text"), lambda t, v: F.replace(t, v, F.lit(MASK)))
     out = docs.withColumn("text", F.when(F.rlike("text", F.lit("[0-9]")), hidden).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

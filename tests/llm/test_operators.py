@@ -183,3 +183,17 @@ def test_quotes(spark):
     assert got[1, 1]["reply_turn"] == 0 and got[1, 2]["reply_turn"] == 1 and got[1, 2]["deepest"] == 2 and got[1, 2]["n_linked"] == 2
     assert got[1, 2]["text"] == "Then it is settled" and (got[2, 0]["abroad_conv"], got[2, 0]["abroad_turn"]) == (1, 0)
     assert got[None, 0]["n_linked"] == 0 and got[2, 1]["text"] == "" and got[2, 1]["position"] == 1
+
+
+def test_secrets_at_every_place(spark):
+    forest = secret_forest.train(spark)
+    token = "841d82b07cb9b9f1fcb7cce52fad63a992695314"
+    text = f'é\U0001f600 commit {token} was made and then token = "{token}" and /files/{token}.html'
+    many = "".join(f"item-{i:05d}-number, " for i in range(700))
+    rows = spark.createDataFrame([(1, text), (2, many), (3, f"{token}")], "doc_id long, text string")
+    got = {i: sorted((r["start"], r["length"], r["secret"]) for r in secret_forest.scan(rows, forest).collect() if r["doc_id"] == i) for i in (1, 2, 3)}
+    places = [m.span() for m in re.finditer(secret_forest.CANDIDATE, text)]
+    assert [(a, n) for a, n, _ in got[1]] == [(a, b - a) for a, b in places] and [s for *_, s in got[1]] == [0, 1, 0]
+    assert [(a, n) for a, n, _ in got[2]] == [(m.start(), len(m.group())) for m in re.finditer(secret_forest.CANDIDATE, many)] and len(got[3]) == 1
+    out = {r["doc_id"]: r["text"] for r in secret_forest.redact(rows, forest).collect()}
+    assert token not in out[1] and out[2] == many
