@@ -5,7 +5,8 @@ of one depth are passages. A passage and its paragraphs are normalised (letters
 and digits only, lower case) and hashed; a message's own lines, paragraphs and
 whole are hashed alike. A quoted passage is linked to the earliest message that
 has its hash among its own: an earlier turn of the conversation first, then any
-conversation. A message replies to the message of its shallowest linked quote in
+conversation. Of quotes of one depth from other conversations a short passage
+gives way to longer ones. A message replies to the message of its shallowest linked quote in
 the conversation, the latest of equals, or else to the turn before it.
 
 Conversations are built without quotes, in an order in which every message comes
@@ -31,14 +32,20 @@ from .base import pick, settle
 
 _MARK = re.compile(r"^\s*((?:>\s?)+)")
 _PLAIN = re.compile(r"[\W_]+")
-#: Shorter passages (in letters and digits) are not linked.
-LEAST = 12
+_BLANK = re.compile(r"\s+")
+#: Shorter passages (in letters and digits) are short.
+SHORT = 12
+
+
+def normal(text: str) -> str:
+    """Letters and digits in lower case; of a text without any, all that is not blank."""
+    return _PLAIN.sub("", text.lower()) or _BLANK.sub("", text)
 
 
 def normal_hash(text: str) -> int | None:
-    """64 bits of the normalised text; None if there is too little of it."""
-    plain = _PLAIN.sub("", text.lower())
-    return int.from_bytes(blake2b(plain.encode(), digest_size=8).digest(), "little", signed=True) if len(plain) >= LEAST else None
+    """64 bits of the normalised text; None if it is empty."""
+    plain = normal(text)
+    return int.from_bytes(blake2b(plain.encode(), digest_size=8).digest(), "little", signed=True) if plain else None
 
 
 def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
@@ -72,9 +79,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine, quotes = parse(text)
             own.append(mine)
             said.append(sorted({h for p in passages(mine) if (h := normal_hash(p)) is not None}))
-            hashed = {(d, h) for d, p in quotes for x in passages(p) if (h := normal_hash(x)) is not None}
-            quoted.append([{"depth": d, "hash": h} for d, h in sorted(hashed)])
-        kind = pa.list_(pa.struct([("depth", pa.int32()), ("hash", pa.int64())]))
+            hashed = {(d, h, len(normal(x)) < SHORT) for d, p in quotes for x in passages(p) if (h := normal_hash(x)) is not None}
+            quoted.append([{"depth": d, "hash": h, "short": s} for d, h, s in sorted(hashed)])
+        kind = pa.list_(pa.struct([("depth", pa.int32()), ("hash", pa.int64()), ("short", pa.bool_())]))
         yield pa.RecordBatch.from_arrays(
             [*[b.column(i) for i in range(3)], pa.array(own, pa.string()), pa.array(said, pa.list_(pa.int64())), pa.array(quoted, kind)],
             ["conv_id", "turn", "role", "text", "said", "quoted"],
@@ -84,11 +91,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def parsed(conversations: DataFrame) -> DataFrame:
     """Each message with its own text, the hashes that it says, and those that it quotes."""
     rows = pick(conversations, conv_id="long", turn="long", role="string", text="string")
-    return rows.mapInArrow(_parse, "conv_id long, turn long, role string, text string, said array<long>, quoted array<struct<depth:int,hash:long>>")
+    return rows.mapInArrow(_parse, "conv_id long, turn long, role string, text string, said array<long>, quoted array<struct<depth:int,hash:long,short:boolean>>")
 
 
 def links(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, depth, hash, from_conv, from_turn): every quoted hash with its source, or null.
+    """(conv_id, turn, depth, hash, short, from_conv, from_turn): every quoted hash with its source, or null.
 
     What is said is pre-aggregated to the earliest message by hash and
     conversation, and by hash, so a line that everybody says is no hot key.
@@ -102,7 +109,7 @@ def links(messages: DataFrame) -> DataFrame:
     q = q.drop("h", "c").join(first, "hash", "left")
     elsewhere = F.when(~F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("first"))
     return q.select(
-        "conv_id", "turn", "depth", "hash", F.when(F.col("here").isNotNull(), F.col("conv_id")).otherwise(elsewhere["conv_id"]).alias("from_conv"),
+        "conv_id", "turn", "depth", "hash", "short", F.when(F.col("here").isNotNull(), F.col("conv_id")).otherwise(elsewhere["conv_id"]).alias("from_conv"),
         F.coalesce(F.col("here"), elsewhere["turn"]).alias("from_turn"),
     )
 
@@ -119,7 +126,7 @@ def threads(conversations: DataFrame, turns_per_run: int = 1000) -> DataFrame:
     per = found.groupBy("conv_id", "turn").agg(
         F.count("*").alias("n_quotes"), F.count("from_turn").alias("n_linked"), F.max("depth").alias("deepest"),
         F.min(F.when(local, F.struct("depth", (-F.col("from_turn")).alias("t")))).alias("reply"),
-        F.min(F.when(~local & F.col("from_turn").isNotNull(), F.struct("depth", "from_conv", "from_turn"))).alias("abroad"),
+        F.min(F.when(~local & F.col("from_turn").isNotNull(), F.struct("depth", "short", "from_conv", "from_turn"))).alias("abroad"),
     )
     per = per.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "n_quotes", "n_linked", "deepest", (-F.col("reply.t")).alias("reply_turn"), F.col("abroad.from_conv").alias("abroad_conv"), F.col("abroad.from_turn").alias("abroad_turn"))
     rows = m.select("conv_id", "turn", "role", "text").withColumn("run", F.floor(F.coalesce("turn", F.lit(2**62)) / turns_per_run))

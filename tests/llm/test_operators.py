@@ -197,3 +197,16 @@ def test_secrets_at_every_place(spark):
     assert [(a, n) for a, n, _ in got[2]] == [(m.start(), len(m.group())) for m in re.finditer(secret_forest.CANDIDATE, many)] and len(got[3]) == 1
     out = {r["doc_id"]: r["text"] for r in secret_forest.redact(rows, forest).collect()}
     assert token not in out[1] and out[2] == many
+
+
+def test_quotes_short(spark):
+    said = "A passage of more than a dozen letters"
+    rows = [
+        (1, 0, "user", "Yes, I do"), (1, 1, "assistant", "这是一个测试"), (1, 2, "user", "👍"), (1, 3, "assistant", "> Yes, I do\nfine"), (1, 4, "user", "> 这是一个测试\nso"),
+        (1, 5, "user", "> 👍\n\n>> never said"), (2, 0, "user", said), (3, 0, "user", f"> {said}\n\nand\n> yes I do\nas well"), (4, 0, "user", "> 这是一个测试"),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in quote_links.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[1, t]["reply_turn"] for t in (3, 4, 5)] == [0, 1, 2]
+    assert [(got[1, t]["n_quotes"], got[1, t]["n_linked"], got[1, t]["deepest"]) for t in (3, 4, 5)] == [(1, 1, 1), (1, 1, 1), (2, 1, 2)]
+    assert (got[3, 0]["n_quotes"], got[3, 0]["n_linked"], got[3, 0]["abroad_conv"]) == (2, 2, 2)
+    assert (got[4, 0]["abroad_conv"], got[4, 0]["abroad_turn"]) == (1, 1)
