@@ -127,7 +127,7 @@ class Features:
         words, chars = blanks + 1.0, max(chars, 1.0)
         low = text.lower()
         hits = self.found(low)
-        hidden = [m for m in _HIDDEN.finditer(low)] if digits or marks or exclaim else []
+        hidden = list(_HIDDEN.finditer(low))
         plain = " ".join(_INNER.sub("", m.group()).translate(LEET) for m in hidden)
         secret = len(self.found(plain)) if plain else 0
         places = sorted({h[0] for h in hits})

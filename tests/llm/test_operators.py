@@ -210,3 +210,11 @@ def test_quotes_short(spark):
     assert [(got[1, t]["n_quotes"], got[1, t]["n_linked"], got[1, t]["deepest"]) for t in (3, 4, 5)] == [(1, 1, 1), (1, 1, 1), (2, 1, 2)]
     assert (got[3, 0]["n_quotes"], got[3, 0]["n_linked"], got[3, 0]["abroad_conv"]) == (2, 2, 2)
     assert (got[4, 0]["abroad_conv"], got[4, 0]["abroad_turn"]) == (1, 1)
+
+
+def test_hidden_words_need_no_digit():
+    own = toxicity.Features([])
+    at = toxicity.FEATURES.index("hidden_hits")
+    for text in ("such an i-d-i-o-t he is", "what a mo.ron he is", "what a mo.ron he is, 7 times"):
+        assert own.row(text)[at] == 1.0
+    assert own.row("a well-known house. It is old")[at] == 0.0
