@@ -1,9 +1,10 @@
 """Secret scans: candidates judged by a random forest.
 
 Candidates are runs of 12 or more letters, digits and ``+/_-`` that hold a digit
-and a letter. Features are the candidate's length, character transitions,
-distinct characters, dictionary coverage, whether it lies in a path, and the
-words before it. The forest is trained on labelled findings, which
+and a letter, and, of any length and characters, what stands after a credential
+word and an assignment up to a blank or the closing quote. Features are the candidate's length, character transitions,
+distinct characters, dictionary coverage, whether it lies in a path, whether it
+is a placeholder or a word of prose, and the words before it. The forest is trained on labelled findings, which
 ``labelled_findings`` makes by rule: keys in the forms that services hand out,
 and look-alikes such as commit ids, UUIDs, paths, versions and identifiers. Its
 trees are read into one SQL expression, so that scanning is a projection: no
@@ -29,6 +30,21 @@ from pyspark.sql import functions as F
 from .base import pick
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[+/_-]*[A-Za-z0-9+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{12,}={0,2}"
+_RUN = r"^[A-Za-z0-9+/_-]{12,}={0,2}$"
+_NAMED = r"(?i:passw[a-z]{0,4}|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credentials?|auth|bearer|contraseña|kennwort|mot de passe)"
+#: What is assigned to a credential word: cheap looks behind first, then the whole of it.
+ASSIGNED = (
+    r"""(?<=[=:>\s"'`])(?=\S)(?<=[=:>]\s{0,3}["'`]?|[Rr]\s{1,3}["'`]?)(?!(?<=[:=])[=>])(?!(?<=[=:>]\s{0,3})["'`])"""
+    rf"""(?<={_NAMED}(?:s|[_0-9A-Z-][A-Za-z0-9_-]{{0,11}})?["'`]?\s{{0,3}}(?::=|=>|={{1,3}}|:)\s{{0,3}}["'`]?|(?i:bearer)\s{{1,3}}["'`]?)"""
+    r"""(?:(?<=")[^"\s]+(?=")|(?<=')[^'\s]+(?=')|(?<=`)[^`\s]+(?=`)|[$%]?[<\[{]{1,2}[^\s<>\[\]{}]*[>\]}]{1,2}|\S*[^\s"'`,;.)\]}>]|[^\s"'`]\S*)"""
+)
+#: Every text with a candidate has one of these.
+ANY = r"[0-9=:]|(?i:bearer)"
+#: Values that are no secrets wherever they stand: placeholders, calls, names of things.
+PLAIN = (
+    r"(?i)^(null|none|nil|true|false|yes|no|on|off|undefined|required|optional|string|str|int|integer|bool|boolean|text|type|default|example|your.*|the|a|an|it|is|are|was|and|or|for|of|to|in|we|you|this|that|bearer|basic|"
+    r"sha|commit|https?:.*)$|^[<\[{(%*$][^ ]*[>\]})*]$|^\$[A-Z_]+$|^%[a-z]$|^[*•x.]+$|\(|^[a-z_]+(\.[a-z_]+)+"
+)
 #: Characters of the text before and after a candidate that count as its neighbours.
 BEFORE, AFTER = 32, 12
 #: Candidates that may stand among those neighbours on either side; each takes 4 characters or more.
@@ -41,7 +57,7 @@ WORDS = (
     "page|view|edit|node|line|word|size|color|style|class|table|model|system|server|client|local|public|config|default|update|report|"
     "order|number|part|chapter|section|figure|report|draft|final|copy|new|old|the|and|tion|ing|ment"
 )
-FEATURES = ("length", "turns", "distinct", "digits", "uppers", "hexes", "covered", "path", "called", "assigned", "other", "known", "dashes")
+FEATURES = ("length", "turns", "distinct", "digits", "uppers", "hexes", "covered", "path", "called", "assigned", "other", "known", "dashes", "plain", "tight")
 MASK = "[SECRET]"
 
 
@@ -66,6 +82,8 @@ def features(value: Column, before: Column, after: Column) -> list[Column]:
         flag(F.rlike(low, F.lit(r"(commit|sha|hash|digest|uuid|guid|etag|md5|checksum|revision|version|isbn|order|invoice|doi|build)[^.]{0,12}$"))),
         flag(F.rlike(value, F.lit(r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}|^sk[-_][A-Za-z0-9_-]{16,}|^xox[abprs]-|^AIza[A-Za-z0-9_-]{30,}|^glpat-|^eyJ[A-Za-z0-9_-]{10,}"))),
         share("[-_]"),
+        flag(F.rlike(value, F.lit(PLAIN))),
+        flag(F.rlike(before, F.lit(r"=\s?[\"'`]?$|[\"'`]$"))),
     ]
 
 
@@ -79,6 +97,15 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
     size = lambda low, span: (F.lit(low) + F.pmod(F.xxhash64(F.lit("n"), i), F.lit(span))).cast("int")
     cut = lambda text, low, span: F.substring(text, F.lit(1), size(low, span))
     prose = F.concat_ws(" ", word("p"), word("q"), word("r"))
+    one = lambda salt, text: F.element_at(F.split(F.lit(text), " "), F.pmod(F.xxhash64(F.lit(salt), i), F.lit(len(text.split(" ")))).cast("int") + 1)
+    letters = lambda salt: F.translate(hexes(salt), "0123456789", "ghkmnpqrst")
+    figures = lambda salt: F.translate(hexes(salt), "abcdef", "135790")
+    named = lambda salt: one(salt, "password pwd secret token api_key auth_token client_secret Password TOKEN credential")
+    tied = F.concat(prose, F.lit(" "), named("v"), one("w", "= =' =\" =` :\" :'"))
+    loose = F.concat(prose, F.lit(" "), named("v"), F.lit(": "))
+    either = F.when(F.pmod(F.xxhash64(F.lit("x"), i), F.lit(2)) == 0, tied).otherwise(loose)
+    marked = F.concat(cut(mixed("y"), 3, 6), one("z", "! @ # $ . %"), F.substring(hexes("y"), 1, 3))
+    plain = one("A", "null None true false required optional string undefined the your_password ${DB_PASSWORD} $TOKEN <password> **** {{token}} %s [SECRET] getToken() os.environ config.secret_key (optional)")
     cases = [
         (1, F.concat(F.lit("AKIA"), F.substring(upper("a"), 1, 16)), F.concat(prose, F.lit(" ")), F.lit(" ")),
         (1, F.substring(hexes("b"), 1, 40), F.concat(prose, F.lit(' token = "')), F.lit('" ')),
@@ -97,6 +124,18 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         (0, F.concat(F.lit("2024-"), F.pmod(i, F.lit(12)).cast("string"), F.lit("-release-"), i.cast("string")), F.concat(prose, F.lit(" ")), F.lit(" ")),
         (0, F.concat(word("s"), F.lit("-"), word("t"), F.lit("-chapter-"), i.cast("string")), F.concat(F.lit("/docs/")), F.lit(".html")),
         (0, F.substring(hexes("u"), 1, 24), F.concat(prose, F.lit(" order id ")), F.lit(" ")),
+        (1, F.concat(F.initcap(word("B")), F.substring(figures("B"), 1, 2)), either, F.lit(" ")),
+        (1, F.concat(word("C"), F.substring(figures("C"), 1, 1), F.substring(letters("C"), 1, 1)), either, F.lit("\n")),
+        (1, marked, either, F.lit(" ")),
+        (1, cut(letters("D"), 5, 24), tied, F.lit("' ")),
+        (1, cut(letters("E"), 18, 14), loose, F.lit("\n")),
+        (1, cut(figures("F"), 4, 16), either, F.lit(" ")),
+        (1, F.concat(word("G"), word("H")), tied, F.lit(" ")),
+        (1, F.concat(F.initcap(word("G"))), tied, F.lit(" ")),
+        (0, word("I"), loose, F.lit(" ")),
+        (0, one("J", "expired missing invalid limits access rotation was sharing forgotten incorrect authentication"), loose, F.concat(F.lit(" "), word("K"))),
+        (0, plain, either, F.lit(" ")),
+        (0, plain, either, F.lit('" ')),
     ]
     choose = F.pmod(i, F.lit(len(cases)))
 
@@ -147,8 +186,13 @@ def starts(steps: Column) -> Column:
 
 def findings(text: Column, forest: list) -> Column:
     """An array of (value, start, score) for a text's candidates, each where it stands; start counts characters from 0."""
+    named = F.filter(_findings(text, ASSIGNED, forest), lambda f: ~F.rlike(f["value"], F.lit(_RUN)) | ~F.rlike(f["value"], F.lit(CANDIDATE)))
+    return F.concat(_findings(text, CANDIDATE, forest), named)  # a candidate of both kinds comes once
+
+
+def _findings(text: Column, pattern: str, forest: list) -> Column:
     # The text is gap, candidate, gap, ..., candidate, gap.
-    walk = F.struct(F.split(text, CANDIDATE, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"))
+    walk = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
 
     def placed(w: Column) -> Column:
         pieces = F.zip_with(F.slice(w["gaps"], F.lit(1), F.size(w["found"])), w["found"], lambda g, v: F.concat(g, v))
@@ -180,7 +224,7 @@ def findings(text: Column, forest: list) -> Column:
 
 def scan(docs: DataFrame, forest: list, threshold: float = 0.5) -> DataFrame:
     """Every finding: its place, digest, score and verdict."""
-    rows = pick(docs, doc_id="long", text="string").where(F.rlike("text", F.lit("[0-9]")))
+    rows = pick(docs, doc_id="long", text="string").where(F.rlike("text", F.lit(ANY)))
     rows = rows.select("doc_id", F.explode(findings(F.col("text"), forest)).alias("f"))
     return rows.select(
         "doc_id", F.col("f.start").cast("long").alias("start"), F.length("f.value").cast("long").alias("length"),
@@ -195,8 +239,13 @@ def redact(docs: DataFrame, forest: list, threshold: float = 0.5) -> DataFrame:
     """
     secrets = F.filter(findings(F.col("text"), forest), lambda f: f["score"] >= threshold)
     values = F.array_distinct(F.transform(secrets, lambda f: f["value"]))
-    hidden = F.aggregate(values, F.col("text"), lambda t, v: F.replace(t, v, F.lit(MASK)))
-    out = docs.withColumn("text", F.when(F.rlike("text", F.lit("[0-9]")), hidden).otherwise(F.col("text")))
+    values = F.array_sort(F.transform(values, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("value"))))  # a longer one may hold a shorter
+    quoted = lambda v: F.concat(F.lit(r"\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    # Short values stand in other words, too: these stay.
+    alone = lambda v: F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted(v), F.lit(r"(?![\p{L}\p{N}])"))
+    hide = lambda t, v: F.when(F.length(v) >= 12, F.replace(t, v, F.lit(MASK))).otherwise(F.regexp_replace(t, alone(v), F.lit(MASK)))
+    hidden = F.aggregate(values, F.col("text"), lambda t, v: hide(t, v["value"]))
+    out = docs.withColumn("text", F.when(F.rlike("text", F.lit(ANY)), hidden).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -218,3 +218,16 @@ def test_hidden_words_need_no_digit():
     for text in ("such an i-d-i-o-t he is", "what a mo.ron he is", "what a mo.ron he is, 7 times"):
         assert own.row(text)[at] == 1.0
     assert own.row("a well-known house. It is old")[at] == 0.0
+
+
+def test_secrets_by_context(spark):
+    forest = secret_forest.train(spark)
+    cases = [
+        ("db password=Summer24 here", "Summer24"), ("pwd: hunter2x\n", "hunter2x"), ('"password": "a!b@c#9$"', "a!b@c#9$"), ("secret=correcthorsebattery now", "correcthorsebattery"),
+        ("secret=99182736455 now", "99182736455"), ("token = 'x.y!z77'", "x.y!z77"),
+    ]
+    plain = ["the password: required", "token = None", "secret=${DB_SECRET}", 'password="" and more', "author: Miller wrote", "Summertime is no password"]
+    rows = [(i, t) for i, (t, _) in enumerate(cases)] + [(100 + i, t) for i, t in enumerate(plain)]
+    out = {r["doc_id"]: r["text"] for r in secret_forest.redact(spark.createDataFrame(rows, "doc_id long, text string"), forest).collect()}
+    assert [out[i] for i in range(len(cases))] == [t.replace(v, "[SECRET]") for t, v in cases]
+    assert [out[100 + i] for i in range(len(plain))] == plain
