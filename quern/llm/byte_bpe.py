@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from .base import pick
 
-#: Chunks that a worker remembers before it starts anew.
+#: Chunks that a worker remembers before it starts anew; a slice of rows may need more for its own time.
 MEMORY = 400_000
 
 
@@ -107,8 +107,6 @@ class Codec:
 
     def learn(self, new: set[str]) -> None:
         """Encode new chunks in long runs, and cut the ids at the chunks' ends by the tokens' widths."""
-        if len(self.known) + len(new) > MEMORY:
-            self.known = {}
         # A run may be cut only where a blank follows a visible character.
         safe = [c for c in new if c[0] == " " and c[1:2] and not c[1].isspace() and not c[-1].isspace()]
         odd = new.difference(safe)
@@ -127,13 +125,14 @@ class Codec:
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Token count, digest of the ids, digest of the decoded bytes."""
         cut = [self.chunks(t) if t else [] for t in texts]
-        new = {c for one in cut for c in one}.difference(self.known)
-        if new:
-            before = len(self.known)
-            self.learn(new)
-            if len(self.known) < before + len(new):  # memory was emptied
-                self.learn({c for one in cut for c in one}.difference(self.known))
+        need = {c for one in cut for c in one}
+        new = need.difference(self.known)
+        if len(self.known) + len(new) > MEMORY:  # what these texts need stays
+            self.known = {c: self.known[c] for c in need.difference(new)}
+        self.learn(new)
         known = self.known
+        if len(known) > MEMORY:
+            self.known = {}
         for one in cut:
             got = [known[c] for c in one]
             ids = " ".join([g[0] for g in got if g[0]])

@@ -231,3 +231,12 @@ def test_secrets_by_context(spark):
     out = {r["doc_id"]: r["text"] for r in secret_forest.redact(spark.createDataFrame(rows, "doc_id long, text string"), forest).collect()}
     assert [out[i] for i in range(len(cases))] == [t.replace(v, "[SECRET]") for t, v in cases]
     assert [out[100 + i] for i in range(len(plain))] == plain
+
+
+def test_bpe_slice_beyond_memory(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    first, second = "one two three", " ".join(f"word{i}" for i in range(60)) + " two three"
+    want = list(byte_bpe.Codec(path, public_tokenizers.PATTERN).digests([first, second, first]))
+    monkeypatch.setattr(byte_bpe, "MEMORY", 20)
+    own = byte_bpe.Codec(path, public_tokenizers.PATTERN)
+    assert list(own.digests([first])) + list(own.digests([second, first])) == want and len(own.known) <= 20
