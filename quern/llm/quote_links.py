@@ -98,16 +98,19 @@ def links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, depth, hash, short, from_conv, from_turn): every quoted hash with its source, or null.
 
     What is said is pre-aggregated to the earliest message by hash and
-    conversation, and by hash, so a line that everybody says is no hot key.
+    conversation, and to the two least conversations by hash (one may be the
+    quoting one), so a line that everybody says is no hot key.
     """
     said = messages.where("turn IS NOT NULL").select("conv_id", "turn", F.explode("said").alias("hash"))
     quotes = messages.select("conv_id", "turn", F.inline("quoted")).distinct()
     here = said.groupBy("hash", "conv_id").agg(F.min("turn").alias("here"))
-    first = here.groupBy("hash").agg(F.min(F.struct("conv_id", F.col("here").alias("turn"))).alias("first"))
+    place = F.struct("conv_id", F.col("here").alias("turn"))
+    nth = here.withColumn("nth", F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))).where("nth <= 2")
+    first = nth.groupBy("hash").agg(F.min(F.when(F.col("nth") == 1, place)).alias("first"), F.min(F.when(F.col("nth") == 2, place)).alias("second"))
     own = here.select(F.col("hash").alias("h"), F.col("conv_id").alias("c"), "here")
     q = quotes.join(own, (quotes["hash"] == own["h"]) & quotes["conv_id"].eqNullSafe(own["c"]) & (own["here"] < F.coalesce(quotes["turn"], F.lit(2**62))), "left")
     q = q.drop("h", "c").join(first, "hash", "left")
-    elsewhere = F.when(~F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("first"))
+    elsewhere = F.when(~F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("first")).otherwise(F.col("second"))
     return q.select(
         "conv_id", "turn", "depth", "hash", "short", F.when(F.col("here").isNotNull(), F.col("conv_id")).otherwise(elsewhere["conv_id"]).alias("from_conv"),
         F.coalesce(F.col("here"), elsewhere["turn"]).alias("from_turn"),

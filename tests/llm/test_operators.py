@@ -240,3 +240,11 @@ def test_bpe_slice_beyond_memory(monkeypatch):
     monkeypatch.setattr(byte_bpe, "MEMORY", 20)
     own = byte_bpe.Codec(path, public_tokenizers.PATTERN)
     assert list(own.digests([first])) + list(own.digests([second, first])) == want and len(own.known) <= 20
+
+
+def test_quotes_said_later_at_home(spark):
+    said = "A passage of more than a dozen letters"
+    rows = [(1, 0, "user", f"> {said}\nis it so"), (1, 1, "assistant", said), (2, 3, "user", said), (3, 0, "user", said), (4, 0, "user", f"> {said}\nyes")]
+    got = {(r["conv_id"], r["turn"]): r for r in quote_links.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1, 0]["n_linked"], got[1, 0]["abroad_conv"], got[1, 0]["abroad_turn"]) == (1, 2, 3)
+    assert (got[4, 0]["abroad_conv"], got[4, 0]["abroad_turn"]) == (1, 1)
