@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -50,10 +51,12 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/quern-{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
+    spark.sparkContext.setLocalProperty("spark.job.description", label)  # for the reader of the event log
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
@@ -75,6 +78,16 @@ def release(*settled: DataFrame) -> None:
         _delete(df.sparkSession, df._settled)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect its garbage between the phases of a long operator.
+
+    Broadcasts, shuffle state and plans that nothing refers to go only then, on
+    the driver and on the executors.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_settled() -> None:
     """Delete what ``settle`` wrote, as far as the session still lives."""
     while _written:

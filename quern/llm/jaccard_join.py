@@ -35,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import pick, release, settle
-from .graph import components
+from .base import pick, release, settle, tidy
+from .graph import components, joined_components
 from .shingles import scramble, shingle_sets
 
 #: Cells of the frequency sketch and bits of the filter of wanted documents: fixed sizes, whatever the input.
@@ -172,8 +172,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
 
 def verify(docs: DataFrame, pairs: DataFrame, num: int, den: int, width: int) -> DataFrame:
-    """Those of the pairs (u, v) that are linked, by their whole sets."""
-    side = lambda c: _sets(docs, pairs.select(F.col(c).alias("node")), width).select(F.col("node").alias(c), F.col("s").alias("s" + c))
+    """Those of the pairs (u, v) that are linked, by their whole sets. The pairs do not repeat."""
+    sets = _sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")), width)  # the same plan for both sides, so that one pass and one shuffle serve both
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("s").alias("s" + c))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     common = F.size(F.array_intersect("su", "sv"))
     checked = both.select("u", "v", common.alias("c"), (F.size("su") + F.size("sv")).alias("t"))
@@ -206,46 +207,58 @@ def links_and_classes(docs: DataFrame, num: int = 75, den: int = 100, width: int
     joined = same.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
     joined = joined.union(same.join(own, same["doc_id"] == own["node"]).select(F.col("doc_id").alias("u"), F.col("a").alias("v")))
 
-    hub_links = settle(verify(docs, settle(_hub_pairs(classes, num, den), "hub-pairs"), num, den, width).union(joined), "links")
-    label = settle(components(hub_links), "clusters")
+    found = settle(_hub_pairs(classes, num, den), "hub-pairs")
+    hub_links = settle(verify(docs, found, num, den, width).union(joined), "links")
+    label = components(hub_links)
+    release(found, hub_links)
+    tidy(docs.sparkSession)
 
     known = classes.select("node").distinct().join(label, "node", "left").select("node", F.coalesce("label", "node").alias("cluster"))
     heads = docs.where("doc_id IS NOT NULL").mapInArrow(prefixes(freq, num, den, width), "doc_id long, n long, match int, tokens array<long>").where("n > 0")
     heads = settle(heads.join(known, heads["doc_id"] == known["node"]).drop("doc_id"), "prefixes")
     # A pair's first shared shingle is in the prefix of match 1; the longer prefixes only count.
-    first = F.slice("tokens", 1, F.least(F.size("tokens"), F.size("tokens") - F.col("match") + 1))
+    first = F.slice("tokens", F.lit(1), F.size("tokens") - F.col("match") + 1)
     tokens = heads.select("node", "cluster", "n", "match", F.posexplode(first).alias("pos", "token"))
-    tokens = tokens.select("token", "node", "cluster", (F.col("n") * (1 << 32) + F.col("pos") * 16 + F.col("match")).cast("long").alias("meta"))
-    mixed = settle(_mixed(tokens), "mixed")  # its shuffle goes before the next begins
-    kept = settle(tokens.join(mixed, "token"), "tokens")
-    release(mixed)
+    kept = _mixed(tokens.select("token", "node", "cluster", (F.col("n") * (1 << 32) + F.col("pos") * 16 + F.col("match")).cast("long").alias("meta")))
+    release(classes)
+    tidy(docs.sparkSession)
     for number in range(STAR_ROUNDS):
         if kept.isEmpty():
             break
         stars = settle(_star_pairs(kept, number, num, den), "star-pairs")
         more = settle(verify(docs, stars, num, den, width), "star-links")
+        release(stars)
         if more.isEmpty():
+            release(more)
             break
-        hub_links = settle(hub_links.union(more), "links")
-        before, kept = kept, settle(_relabelled(kept, components(hub_links)), "tokens")
-        release(before)
+        old, label = label, joined_components(label, more)
+        before, kept = kept, _mixed(settle(_relabelled(kept, label), "relabelled"), release_it=True)
+        release(old, more, before)
+        tidy(docs.sparkSession)
     met = settle(_cross_pairs(kept, num, den), "met")
     release(kept)
-    pairs = settle(_matched(met, heads, num, den), "pairs")
+    pairs = _matched(met, heads, num, den)
     release(met, heads)
-    return rows, _resolve(docs, pairs, hub_links, num, den, width)
+    tidy(docs.sparkSession)
+    return rows, _resolve(docs, pairs, label, num, den, width)
 
 
-def _mixed(tokens: DataFrame) -> DataFrame:
-    """The shingles that more than one cluster holds."""
-    return tokens.groupBy("token").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a <> b").select("token")
+def _mixed(tokens: DataFrame, release_it: bool = False) -> DataFrame:
+    """The rows of shingles that more than one cluster holds.
+
+    The shingles are found first, by partial aggregates: those that a large
+    group holds alone never meet in one task, and their rows meet no partner.
+    """
+    mixed = tokens.groupBy("token").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a <> b").select("token")
+    mixed = settle(mixed, "mixed")  # its shuffle goes before the next begins
+    out = settle(tokens.join(mixed, "token"), "tokens")
+    release(mixed, *([tokens] if release_it else []))
+    return out
 
 
 def _relabelled(kept: DataFrame, label: DataFrame) -> DataFrame:
-    """The rows under the clusters of now, without shingles whose holders are all in one cluster."""
-    now = kept.join(label, "node", "left").select("token", "node", F.coalesce("label", "cluster").alias("cluster"), "meta")
-    now = settle(now, "relabelled")
-    return now.join(_mixed(now), "token").select("token", "node", "cluster", "meta")
+    """The rows under the clusters of now."""
+    return kept.join(label, "node", "left").select("token", "node", F.coalesce("label", "cluster").alias("cluster"), "meta")
 
 
 def _parts(side: str) -> list:
@@ -309,26 +322,35 @@ def _matched(met: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
     both, for any m.
     """
     side = lambda c: heads.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("match").alias("m" + c), F.col("tokens").alias("t" + c))
+    ends = met.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    heads = settle(heads.join(ends, "node"), "met-prefixes")  # few of all
     both = met.join(side("u"), "u").join(side("v"), "v").withColumn("match", F.least("mu", "mv").cast("long"))
     part = lambda c: F.slice("t" + c, F.lit(1), F.greatest(F.lit(0), F.col("n" + c) - F.col("need") + F.col("match")).cast("int"))
     both = both.withColumn("need", _need(num, den))
     found = both.select("u", "v", "ca", "cb", "match", F.size(F.array_intersect(part("u"), part("v"))).alias("shared")).where("shared >= match")
-    return found.groupBy("u", "v", "ca", "cb").agg(F.max("shared").alias("shared"))
+    out = settle(found.groupBy("u", "v", "ca", "cb").agg(F.max("shared").alias("shared")), "pairs")
+    release(heads)
+    return out
 
 
-def _resolve(docs: DataFrame, pairs: DataFrame, links: DataFrame, num: int, den: int, width: int) -> DataFrame:
+def _resolve(docs: DataFrame, pairs: DataFrame, label: DataFrame, num: int, den: int, width: int) -> DataFrame:
     """Components after verifying pairs across clusters: the likeliest of each two clusters, then all still apart."""
     if pairs.isEmpty():
-        return components(links)
+        return label
     first = pairs.groupBy("ca", "cb").agg(F.max(F.struct("shared", "u", "v")).alias("b")).select("b.u", "b.v")
-    links = settle(links.union(verify(docs, first, num, den, width)), "links")
-    label = components(links)
+    first = settle(first, "first")
+    links = settle(verify(docs, first, num, den, width), "links")
+    label = joined_components(label, links)
     ends = lambda s: label.select(F.col("node").alias(s), F.col("label").alias("l" + s))
     rest = pairs.join(first, ["u", "v"], "left_anti").join(ends("u"), "u", "left").join(ends("v"), "v", "left")
-    rest = settle(rest.where(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v").distinct(), "rest")
-    if rest.isEmpty():
-        return label
-    return components(links.union(verify(docs, rest, num, den, width)))
+    rest = settle(rest.where(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v"), "rest")
+    release(pairs, first, links)
+    if not rest.isEmpty():
+        links = settle(verify(docs, rest, num, den, width), "links")
+        label = joined_components(label, links)
+        release(links)
+    release(rest)
+    return label
 
 
 def join_components(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5) -> DataFrame:
