@@ -97,20 +97,21 @@ def drop_settled() -> None:
 atexit.register(drop_settled)
 
 
-def pick(df: DataFrame, **types: str) -> DataFrame:
-    """Exactly the named columns with their types; other columns are left behind.
+def column(df: DataFrame, name: str, kind: str) -> Column:
+    """The named column in a type; null if it is missing.
 
-    A missing column counts as all null. Names are matched literally and without
-    regard to case only when no exact match exists.
+    Names are matched literally, and without regard to case only when no exact
+    match exists.
     """
     exact = {c: c for c in df.columns}
     loose = {c.lower(): c for c in reversed(df.columns)}
-    cols = []
-    for name, kind in types.items():
-        found = exact.get(name) or loose.get(name.lower())
-        col = F.col(f"`{found}`") if found else F.lit(None)
-        cols.append(col.cast(kind).alias(name))
-    return df.select(*cols)
+    found = exact.get(name) or loose.get(name.lower())
+    return (F.col(f"`{found}`") if found else F.lit(None)).cast(kind)
+
+
+def pick(df: DataFrame, **types: str) -> DataFrame:
+    """Exactly the named columns with their types; other columns are left behind."""
+    return df.select(*[column(df, name, kind).alias(name) for name, kind in types.items()])
 
 
 def n_words(text: Column) -> Column:
