@@ -23,7 +23,7 @@ def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix(table(spark, sf_dir, "documents"))
+    return source_mix.mix(table(spark, sf_dir, "documents")).drop("draw")
 
 
 def op5_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {}
+    return {"op3_host_reputation": url_reputation.sql(), "op4_source_mix": source_mix.sql()}
