@@ -3,9 +3,10 @@
 A row descends region, rack and shard. At each level every child draws
 ``-ln(u) / weight`` with ``u`` fixed by the row's key and the child's name, and
 the smallest draw wins. A changed weight alters only the draw of that child, so
-rows move only out of, or into, subtrees whose weights change. New shards open
-in a region of their own; all other weights stand, so a new shard takes rows
-only into itself.
+rows move only out of, or into, subtrees whose weights change. The ``base`` shards
+that a store is founded with share regions and racks, and ``base`` stays the same
+as it grows; later shards open in regions of their own while all other weights
+stand, so that a new shard takes rows only into itself.
 
 Defined cases: a null key draws as the text ``~``; repeated keys share a shard
 and take slots one after another in the order of checksum, size and text
@@ -32,17 +33,17 @@ class Node:
     children: tuple["Node", ...] = ()
 
 
-def layout(shards: int, base: int = 16, racks: int = 2, per_rack: int = 2) -> Node:
-    """The tree for ``shards`` shards.
+#: Shards that a store is founded with.
+BASE = 16
 
-    The first ``base`` shards fill regions of ``racks`` x ``per_rack``; each
-    later shard is a region of its own, at the weight of its one shard.
-    """
+
+def layout(shards: int, base: int = BASE, racks: int = 2, per_rack: int = 2) -> Node:
+    """The tree of ``base`` shards in regions of ``racks`` x ``per_rack``, and a region for each shard beyond them."""
     regions, number = [], 0
-    while number < min(shards, base):
+    while number < base:
         region = []
         for r in range(racks):
-            own = tuple(Node(f"s{k}", 1.0, k) for k in range(number, min(number + per_rack, shards, base)))
+            own = tuple(Node(f"s{k}", 1.0, k) for k in range(number, min(number + per_rack, base)))
             if own:
                 region.append(Node(f"r{len(regions)}k{r}", float(len(own)), children=own))
             number += len(own)
@@ -50,7 +51,7 @@ def layout(shards: int, base: int = 16, racks: int = 2, per_rack: int = 2) -> No
     for k in range(base, shards):
         leaf = Node(f"s{k}", 1.0, k)
         regions.append(Node(f"r{len(regions)}", 1.0, children=(Node(f"r{len(regions)}k0", 1.0, children=(leaf,)),)))
-    return Node("root", float(shards), children=tuple(regions))
+    return Node("root", float(max(shards, base)), children=tuple(regions))
 
 
 def _draw(key: Column, node: Node, seed: str) -> Column:
@@ -89,7 +90,14 @@ def assign(df: DataFrame, key: Column, tree: Node, out: str, seed: str = "tree")
     return df.withColumn(out, F.element_at(numbers, F.col(level) + 1).cast("int")).drop(level)
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, rows_per_run: int = 50_000) -> DataFrame:
+def assign_shard(df: DataFrame, key: Column, shards: int, out: str, base: int = BASE) -> DataFrame:
+    """Add the shard of each row among ``shards``, of which ``base`` were there from the start."""
+    if not 1 <= base <= shards:
+        raise ValueError("a store is founded with one shard at least, and has no fewer later")
+    return assign(df, key, layout(shards, base), out)
+
+
+def shard_documents(docs: DataFrame, shards: int = 16, base: int = BASE, rows_per_run: int = 50_000) -> DataFrame:
     """Every document with its shard, its slot there, and its shard among one more.
 
     Slots: rows of a shard fall into runs by a hash of the key; the runs' counts
@@ -102,8 +110,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, rows_per_run: int = 50_00
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
     )
     key = F.col("doc_id")
-    rows = assign(rows, key, layout(shards), "shard")
-    rows = assign(rows, key, layout(shards + 1), "grown_shard")
+    rows = assign_shard(rows, key, shards, "shard", base)
+    rows = assign_shard(rows, key, shards + 1, "grown_shard", base)
     n_runs = max(1, docs.count() // (rows_per_run * shards) + 1)
     rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(n_runs)))
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
