@@ -10,7 +10,8 @@ cells that hold one digest recovers the digests in which the versions differ.
 A table has 24 cells for each segment of a few digests, dealt by bits of the
 digests, so that work follows the length of a text and no row holds a whole
 table of a long one. Segments that do not peel empty are rebuilt at 64 times the
-size, and so on. All tables are columns of hash aggregates; everything after the
+size, and so on; what the last attempt leaves is compared digest by digest, so
+that every difference is exact. All tables are columns of hash aggregates; everything after the
 shuffle by document stays within its partition.
 
 Defined cases: null text counts as empty; an empty text's table is empty, and
@@ -104,8 +105,8 @@ def _signed(rows: DataFrame) -> DataFrame:
 def differences(rows: DataFrame) -> DataFrame:
     """(uid, pair, d): digests in one version only, for pairs 0 (own, new) and 1 (own, after).
 
-    Only segments that failed go to the next, larger attempt. What the last one
-    leaves is counted as one digest a table.
+    Only segments that failed go to the next, larger attempt; those that fail
+    the last are compared digest by digest.
     """
     by = ["uid", "pair", "segment"]
     rows = rows.repartition("uid")
@@ -119,14 +120,14 @@ def differences(rows: DataFrame) -> DataFrame:
             bits -= 6
             signed = signed.withColumn("segment", F.col("segment") * GROWTH + F.shiftright("key", bits - 6).bitwiseAND(F.lit(GROWTH - 1)))
         tables = signed.groupBy(*by).agg(*_sums(F.col("key"), F.col("weight")))
-        result = peel(tables, by, rounds)
-        last = attempt == len(ROUNDS) - 1
-        if not last:
-            result = settle(result, "peeled")
-        done.append(result.select("uid", "pair", F.when(F.col("clean"), F.col("found")).otherwise(F.col("found") + 1 if last else 0).alias("d")))
+        result = settle(peel(tables, by, rounds), "peeled")
+        done.append(result.select("uid", "pair", F.when(F.col("clean"), F.col("found")).otherwise(0).alias("d")))
         failed = result.where(~F.col("clean")).select(*by)
-        if not last and failed.isEmpty():
+        if failed.isEmpty():
             break
+    else:
+        left = signed.join(failed, by, "left_semi").groupBy("uid", "pair", "key").agg(F.sum("weight").alias("w"))
+        done.append(left.groupBy("uid", "pair").agg(F.count(F.when(F.col("w") != 0, 1)).alias("d")))
     whole = done[0]
     for more in done[1:]:
         whole = whole.union(more)
