@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from quern.plans import catalog
 
 HEADLINE = (
-    "agg_full_scan", "agg_from_stats", "agg_allow_sparse", "agg_allow_medium", "agg_allow_dense", "agg_allow_single_block",
+    "agg_full_scan", "agg_from_metadata", "agg_from_stats", "agg_allow_sparse", "agg_allow_medium", "agg_allow_dense", "agg_allow_single_block",
     "agg_allow_range", "agg_deny", "agg_allow_deny", "gen_three", "agg_duplicates", "encoding_sizes",
 )
 

@@ -43,16 +43,20 @@ def merge(*parts: DataFrame) -> DataFrame:
     return _finish(_fold(whole, F.col("count"), F.col("min"), F.col("max"), F.col("sum")))
 
 
-def aggregate(pairs: DataFrame, allow: DataFrame | None = None, deny: DataFrame | None = None, stats: DataFrame | None = None, prune: bool = False) -> DataFrame:
+def aggregate(
+    pairs: DataFrame, allow: DataFrame | None = None, deny: DataFrame | None = None, stats: DataFrame | None = None, prune: bool = False, bounds: tuple[int, int] | None = None
+) -> DataFrame:
     """The measures of the pairs that pass the filters.
 
-    Statistics answer alone when there is no filter. ``prune`` looks up the
-    allow-set's envelope first, so that the scan skips row groups.
+    Statistics answer alone when there is no filter. ``bounds`` is an allow-set of
+    consecutive ids, and needs no join. ``prune`` looks up the allow-set's envelope
+    first. On a stored column both reach the scan, which skips row groups and pages.
     """
-    if stats is not None and allow is None and deny is None:
+    if stats is not None and allow is None and deny is None and bounds is None:
         return _finish(stat_partials(stats))
-    bounded = within(pairs, envelope(allow)) if prune and allow is not None else pairs
-    return _finish(partials(apply_filters(bounded, allow, deny)))
+    if prune and allow is not None:
+        pairs = within(pairs, envelope(allow))
+    return _finish(partials(apply_filters(pairs, allow, deny, bounds)))
 
 
 def aggregate_parallel(pairs: DataFrame, workers: int, **options) -> DataFrame:

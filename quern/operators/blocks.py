@@ -28,13 +28,13 @@ def assign_blocks(pairs: DataFrame, rows_per_block: int = 1000, slices: int | No
     starts = counts.select("slice", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("start"))
     nth = F.row_number().over(Window.partitionBy("slice").orderBy("id", "value"))
     rows = rows.withColumn("nth", nth).join(F.broadcast(starts), "slice")  # as many rows as slices
-    block = F.floor((F.col("start") + F.col("nth") - 1) / rows_per_block).cast("int")
+    block = F.expr(f"(start + nth - 1) div {int(rows_per_block)}")
     return rows.select(*pairs.columns, block.alias("block_id"))
 
 
 def dense_blocks(pairs: DataFrame, rows_per_block: int = 1000) -> DataFrame:
-    """Blocks of dense ids from 0: a projection, no shuffle."""
-    return pairs.withColumn("block_id", F.floor(F.col("id") / rows_per_block).cast("int"))
+    """Blocks of dense ids from 0: an exact projection for any BIGINT, no shuffle."""
+    return pairs.withColumn("block_id", F.expr(f"id div {int(rows_per_block)}"))
 
 
 def block_stats(blocks: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ def envelope(ids: DataFrame) -> tuple[int, int] | None:
 
 
 def within(pairs: DataFrame, bounds: tuple[int, int] | None) -> DataFrame:
-    """Pairs whose id lies in the bounds; the literals reach the Parquet scan."""
+    """Pairs whose id lies in the bounds; on a stored column the literals reach the Parquet scan."""
     return pairs.where(F.lit(False)) if bounds is None else pairs.where(F.col("id").between(*bounds))
 
 
@@ -33,7 +33,7 @@ def apply_filters(pairs: DataFrame, allow: DataFrame | None = None, deny: DataFr
 
 
 def value_between(pairs: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs by their value; the range reaches the scan."""
+    """Pairs by their value; on a stored column the range reaches the scan."""
     return pairs.where(F.col("value").between(low, high))
 
 

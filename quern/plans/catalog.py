@@ -7,6 +7,7 @@ lineitem, whose ids repeat.
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from ..operators import aggregate as agg
 from ..operators import blocks as blk
 from ..operators import filters as flt
 from ..operators import generations as gen
+from ..sources.storage import StoredColumn, aggregate_stored, exists, scratch, write_column
 
 #: Table, id and value of each base column.
 BASES = {
@@ -33,6 +35,15 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return column_of(spark.read.parquet(f"{sf_dir}/{table}.parquet"), id, value)
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str, pairs: DataFrame | None = None) -> StoredColumn:
+    """A base column (or the given pairs) as a stored one; it is written at the first use in an application."""
+    at = md5(f"{spark.sparkContext.applicationId}/{sf_dir}/{name}".encode()).hexdigest()
+    path = f"{scratch(spark)}/column-{name}-{at}"
+    if not exists(spark, f"{path}/meta"):
+        write_column(base(spark, sf_dir, name) if pairs is None else pairs, path)
+    return StoredColumn(spark, path)
+
+
 def _sql_base(name: str) -> str:
     table, id, value = BASES[name]
     return f"(SELECT CAST({id} AS BIGINT) AS id, CAST({value} AS BIGINT) AS value FROM {table})"
@@ -57,12 +68,12 @@ def _add(name: str, sql: str):
     return take
 
 
-def _measures(name: str, column: str = "O", allow: str | None = None, deny: str | None = None, prune: bool = False) -> None:
-    """A filtered aggregate of a base column; allow and deny are conditions on its ids."""
+def _measures(name: str, column: str = "O", allow: str | None = None, deny: str | None = None, prune: bool = False, keep: bool = False) -> None:
+    """A filtered aggregate of a base column; allow and deny are conditions on its ids. ``keep``: of the stored column."""
     sql = [f"({c})" if yes else f"NOT ({c})" for c, yes in ((allow, True), (deny, False)) if c]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pairs = base(spark, sf_dir, column)
+        pairs = stored(spark, sf_dir, column).pairs if keep else base(spark, sf_dir, column)
         pick = lambda c: None if c is None else id_set(pairs.where(c))
         return agg.aggregate(pairs, pick(allow), pick(deny), prune=prune)
 
@@ -75,10 +86,9 @@ _measures("agg_signed", "C")
 _measures("agg_duplicates", "L")
 _measures("agg_events", "E")
 for _n, _step in (("sparse", 1000), ("medium", 10), ("dense", 2)):
-    _measures(f"agg_allow_{_n}", allow=f"id % {_step} = 0")
-_measures("agg_allow_single_block", allow="id BETWEEN 0 AND 999", prune=True)
-_measures("agg_deny", deny="id % 5 = 0")
-_measures("agg_allow_deny", allow="id < 2000", deny="id % 2 = 0", prune=True)
+    _measures(f"agg_allow_{_n}", allow=f"id % {_step} = 0", keep=True)
+_measures("agg_deny", deny="id % 5 = 0", keep=True)
+_measures("agg_allow_deny", allow="id < 2000", deny="id % 2 = 0", prune=True, keep=True)
 _measures("agg_allow_empty", allow="id < 0")
 _measures("agg_deny_empty", deny="id < 0")
 _measures("agg_deny_all_allowed", allow="id < 500", deny="id < 500")
@@ -86,9 +96,14 @@ _measures("agg_deny_all_allowed", allow="id < 500", deny="id < 500")
 
 @_add("agg_allow_range", _sql_measures(f"{_sql_base('O')} t WHERE id >= (SELECT COUNT(*) // 4 FROM orders) AND id < (SELECT COUNT(*) // 2 FROM orders)"))
 def _range(spark, sf_dir):
-    pairs = base(spark, sf_dir, "O")
-    n = pairs.count()
-    return agg.aggregate(pairs, id_set(spark.range(n // 4, n // 2)), prune=True)
+    column = stored(spark, sf_dir, "O")
+    n = column.about["total_items"]
+    return agg.aggregate(column.pairs, bounds=(n // 4, n // 2 - 1))
+
+
+@_add("agg_allow_single_block", _sql_measures(f"{_sql_base('O')} t WHERE id BETWEEN 0 AND 999"))
+def _single(spark, sf_dir):
+    return agg.aggregate(stored(spark, sf_dir, "O").pairs, bounds=(0, 999))
 
 
 @_add("agg_allow_nonexistent", _sql_measures(f"{_sql_base('O')} t WHERE false"))
@@ -110,7 +125,7 @@ def _parallel(spark, sf_dir):
 
 @_add("agg_value_between", _sql_measures(f"{_sql_base('O')} t WHERE value BETWEEN 1000000 AND 20000000"))
 def _value(spark, sf_dir):
-    return agg.aggregate(flt.value_between(base(spark, sf_dir, "O"), 1_000_000, 20_000_000))
+    return agg.aggregate(flt.value_between(stored(spark, sf_dir, "O").pairs, 1_000_000, 20_000_000))
 
 
 def _blocks(spark, sf_dir, name="O"):
@@ -126,14 +141,31 @@ _SQL_STATS = (
 
 @_add("agg_from_stats", _SQL["agg_full_scan"])
 def _from_stats(spark, sf_dir):
-    blocks = _blocks(spark, sf_dir)
-    return agg.aggregate(blocks, stats=blk.block_stats(blocks))
+    column = stored(spark, sf_dir, "O")
+    return agg.aggregate(column.pairs, stats=column.stats)
+
+
+@_add("agg_from_metadata", _SQL["agg_full_scan"])
+def _from_metadata(spark, sf_dir):
+    return stored(spark, sf_dir, "O").totals()
 
 
 @_add("agg_hybrid", _sql_measures(f"{_sql_base('O')} t WHERE id BETWEEN 500 AND 4499 AND id <> 2500"))
 def _hybrid(spark, sf_dir):
-    blocks = _blocks(spark, sf_dir)
-    return agg.aggregate_hybrid(blocks, blk.block_stats(blocks), id_set(spark.range(500, 4500)), id_set(spark.range(2500, 2501)))
+    column = stored(spark, sf_dir, "O")
+    return agg.aggregate_hybrid(column.blocks, column.stats, id_set(spark.range(500, 4500)), id_set(spark.range(2500, 2501)))
+
+
+@_add("stored_pairs", f"SELECT id, value FROM {_sql_base('L')} t")
+def _stored_pairs(spark, sf_dir):
+    return stored(spark, sf_dir, "L").pairs
+
+
+@_add("stored_about", f"SELECT COUNT(*) AS total_items, (COUNT(*) + 999) // 1000 AS block_count, MIN(id) AS min_id, MAX(id) AS max_id, COUNT(DISTINCT id) AS id_count FROM {_sql_base('L')} t")
+def _stored_about(spark, sf_dir):
+    column = stored(spark, sf_dir, "L")
+    column.check()
+    return column.meta.select("total_items", F.col("block_count").cast("bigint").alias("block_count"), "min_id", "max_id", F.lit(column.id_count()).alias("id_count"))
 
 
 @_add("block_stats", f"SELECT CAST(block_id AS BIGINT) AS block_id, min_id, max_id, min_value, max_value, sum, count, distinct_ids FROM {_SQL_STATS} s")
@@ -210,6 +242,14 @@ _add("gen_two", _sql_measures(f"{_sql_latest(2)} t"))(lambda spark, sf_dir: gen.
 _add("gen_three", _sql_measures(f"{_sql_latest(3)} t"))(lambda spark, sf_dir: gen.aggregate_latest(_generations(spark, sf_dir, 3)))
 
 
+def _stored_generations(spark, sf_dir):
+    return [stored(spark, sf_dir, f"G{i}", g) for i, g in enumerate(_generations(spark, sf_dir, 3))]
+
+
+_add("gen_stored", _sql_measures(f"{_sql_latest(3)} t"))(lambda spark, sf_dir: aggregate_stored(_stored_generations(spark, sf_dir)))
+_add("gen_stored_filtered", _sql_measures(f"{_sql_latest(3)} t WHERE id BETWEEN 10 AND 999"))(lambda spark, sf_dir: aggregate_stored(_stored_generations(spark, sf_dir), id_set(spark.range(10, 1000))))
+
+
 @_add("gen_three_filtered", _sql_measures(f"{_sql_latest(3)} t WHERE id % 3 = 0"))
 def _gen_filtered(spark, sf_dir):
     gens = _generations(spark, sf_dir, 3)

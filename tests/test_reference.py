@@ -46,6 +46,10 @@ CASES = [
     ([], None, (0, 0, 0, 0)),
     (None, [], (300, 10, 1000, 175850)),
     ([5, 5, 5], None, (1, 50, 50, 50)),
+    ([10, 20, 30, 110, 120, 130, 210, 220, 230], None, (9, 100, 650, 3720)),
+    (None, range(1, 101), (200, 402, 1000, 125350)),
+    (range(1, 201), range(2, 301, 2), (100, 10, 995, 62500)),
+    ([*range(50, 76), *range(150, 176), *range(250, 276)], range(5, 301, 5), (60, 502, 870, 39250)),
 ]
 
 
@@ -149,12 +153,45 @@ def test_storage_and_cli(spark, tmp_path, capsys):
         w.write(p)
     with pytest.raises(ValueError):
         ColumnOptions(8)
+    assert not (tmp_path / "w" / "pending").exists() and w.total_items() == 30
+    with pytest.raises(FileExistsError):
+        write_column(p, str(tmp_path / "c"))
+    write_column(p.where("id < 5000"), str(tmp_path / "c"), ColumnOptions(0, 500), mode="overwrite")
+    again = StoredColumn(spark, str(tmp_path / "c"))
+    again.check()
+    assert (again.about["total_items"], again.about["block_count"], again.id_count()) == (5000, 10, 5000)
+    assert tuple(again.totals().first()) == tuple(agg.aggregate(again.pairs).first())
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        StoredColumn(spark, str(tmp_path / "never"))
     cli.main(["write", str(tmp_path / "x"), "--ids", "1,5,10", "--values", "100,200,300"], spark)
-    cli.main(["read", str(tmp_path / "x"), "--agg"], spark)
-    assert "count 3 min 100 max 300 sum 600 avg 200.00" in capsys.readouterr().out
+    cli.main(["read", str(tmp_path / "x"), "--agg", "--dump", "--blocks"], spark)
+    out = capsys.readouterr().out
+    assert "count 3 min 100 max 300 sum 600 avg 200.00" in out and "5 200" in out
+    cli.main(["import", str(tmp_path / "y"), "--rows", "3000", "--rows-per-block", "1000"], spark)
+    cli.main(["aggregate", str(tmp_path / "y")], spark)
+    assert capsys.readouterr().out.count("'count': 3000") == 2
+    cli.main(["walkthrough"], spark)
+    assert "count 60 min 502 max 870 sum 39250 avg 654.17" in capsys.readouterr().out
     assert generate(spark, 1000).count() == 1000
 
 
+def test_filters_reach_the_scan(spark, tmp_path):
+    write_column(spark.range(50_000).select("id", (F.col("id") * 3).alias("value")), str(tmp_path / "c"))
+    pairs = StoredColumn(spark, str(tmp_path / "c")).pairs
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df, want in (
+        (agg.aggregate(pairs, bounds=(0, 999)), "LessThanOrEqual(id,999)"), (agg.aggregate(pairs, ids(spark, [7, 90]), prune=True), "LessThanOrEqual(id,90)"),
+        (agg.aggregate(flt.value_between(pairs, 30, 60)), "GreaterThanOrEqual(value,30)"),
+    ):
+        assert want in plan(df).split("PushedFilters:")[1].split("ReadSchema")[0]
+    assert tuple(agg.aggregate(pairs, bounds=(0, 999)).first())[:4] == (1000, 0, 2997, 1498500)
+
+
+def test_blocks_of_large_ids(spark):
+    p = pairs_of(spark, [(9007199254741000999, 1), (BIG, 2)])
+    assert [r["block_id"] for r in blk.dense_blocks(p).orderBy("id").collect()] == [9007199254741000, BIG // 1000]
+
+
 def test_streamed_generations(spark, tmp_path):
     for b in range(2):
         pairs_of(spark, [(1, b), (b + 2, 5)]).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{b}"))
