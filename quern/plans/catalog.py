@@ -35,13 +35,19 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return column_of(spark.read.parquet(f"{sf_dir}/{table}.parquet"), id, value)
 
 
+#: Columns that are open, by application and path.
+_OPEN: dict[tuple[str, str], StoredColumn] = {}
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, pairs: DataFrame | None = None) -> StoredColumn:
-    """A base column (or the given pairs) as a stored one; it is written at the first use in an application."""
-    at = md5(f"{spark.sparkContext.applicationId}/{sf_dir}/{name}".encode()).hexdigest()
-    path = f"{scratch(spark)}/column-{name}-{at}"
-    if not exists(spark, f"{path}/meta"):
-        write_column(base(spark, sf_dir, name) if pairs is None else pairs, path)
-    return StoredColumn(spark, path)
+    """A base column (or the given pairs) as a stored one; it is written at its first use in an application, and stays open."""
+    app = spark.sparkContext.applicationId
+    path = f"{scratch(spark)}/column-{name}-{md5(f'{app}/{sf_dir}/{name}'.encode()).hexdigest()}"
+    if (app, path) not in _OPEN:
+        if not exists(spark, f"{path}/meta"):
+            write_column(base(spark, sf_dir, name) if pairs is None else pairs, path)
+        _OPEN[app, path] = StoredColumn(spark, path)
+    return _OPEN[app, path]
 
 
 def _sql_base(name: str) -> str:

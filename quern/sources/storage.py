@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ def write_column(pairs: DataFrame, path: str, options: ColumnOptions | None = No
 
 
 class StoredColumn:
-    """A column that was written: pairs, statistics and metadata."""
+    """A column that was written: pairs, statistics and metadata. Open it once: schemas are read then."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -93,7 +94,7 @@ class StoredColumn:
         self.folder = f"{path}/{about['data']}"
         self._ids: DataFrame | None = None
 
-    @property
+    @cached_property
     def blocks(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/pairs")
 
@@ -101,7 +102,7 @@ class StoredColumn:
     def pairs(self) -> DataFrame:
         return self.blocks.select("id", "value")
 
-    @property
+    @cached_property
     def stats(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/stats")
 
