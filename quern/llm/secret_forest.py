@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .base import pick
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[+/_-]*[A-Za-z0-9+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{12,}={0,2}"
+#: Tried at the beginning of a run only; looks ahead never go back, so that the time follows the length of the text.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{12,}={0,2}"
 _RUN = r"^[A-Za-z0-9+/_-]{12,}={0,2}$"
 _NAMED = r"(?i:passw[a-z]{0,4}|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credentials?|auth|bearer|contraseña|kennwort|mot de passe)"
 #: What is assigned to a credential word: cheap looks behind first, then the whole of it.
@@ -88,7 +89,7 @@ def features(value: Column, before: Column, after: Column) -> list[Column]:
 
 
 def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
-    """(value, before, after, secret): labelled findings in ``rows`` rows, by rule from their numbers."""
+    """(value, before, after, secret, row, form): labelled findings in ``rows`` rows, by rule from their numbers; a form is one of the rules."""
     i = F.col("id")
     hexes = lambda salt: F.sha2(F.concat(F.lit(salt), i.cast("string")).cast("binary"), 256)
     mixed = lambda salt: F.translate(F.base64(F.unhex(hexes(salt))), "+/=", "xYz")
@@ -144,7 +145,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
 
     parts = [F.lit(float(c[0])) for c in cases]
     secret = reduce(lambda rest, c: F.when(choose == c[0], c[1]).otherwise(rest), list(enumerate(parts))[:-1], parts[-1])
-    return spark.range(rows, numPartitions=2).select(column(1).alias("value"), column(2).alias("before"), column(3).alias("after"), secret.alias("secret"))
+    return spark.range(rows, numPartitions=2).select(column(1).alias("value"), column(2).alias("before"), column(3).alias("after"), secret.alias("secret"), i.alias("row"), choose.alias("form"))
 
 
 def train(spark: SparkSession, findings: DataFrame | None = None, trees: int = 20, depth: int = 6) -> list[list[tuple]]:
