@@ -18,9 +18,8 @@ Equal vectors are one class: it is searched once, and carries the least ids that
 any query can need. Every vector is indexed; the stated queries meet all blocks.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components take no part, nor do rows without vec_id; of vectors with different
-lengths those of the most frequent one (then the longer) take part; ties go to
-the lesser vec_id, and a vec_id that repeats with equal vectors counts once;
+components take no part, nor do rows without vec_id; vectors meet those of their
+own length, and each length has an index of its own; ties go to the lesser vec_id, and a vec_id that repeats with equal vectors counts once;
 fewer candidates than asked for are all returned; an empty table gives no rows;
 extra columns are ignored.
 """
@@ -28,6 +27,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -130,9 +130,14 @@ def _valid(df: DataFrame) -> DataFrame:
 def nearest(df: DataFrame, k: int = 20, every: int = 20, cover: float = 0.97, sample_rows: int = 12_000, block_rows: int = 8192, query_rows: int = 2048) -> DataFrame:
     """For each row whose vec_id is divisible by ``every`` its k nearest others: (query_id, rank, vec_id, score)."""
     rows = _valid(df)
-    sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    d = sizes[0]["d"] if sizes else 0
-    rows = rows.where(F.size("embedding") == d).withColumn("key", F.xxhash64("embedding"))
+    lengths = sorted(r["d"] for r in rows.select(F.size("embedding").alias("d")).distinct().collect()) or [0]
+    parts = [_nearest(rows.where(F.size("embedding") == d), d, k, every, cover, sample_rows, block_rows, query_rows) for d in lengths]
+    return reduce(DataFrame.union, parts)
+
+
+def _nearest(rows: DataFrame, d: int, k: int, every: int, cover: float, sample_rows: int, block_rows: int, query_rows: int) -> DataFrame:
+    """The same for vectors of one length."""
+    rows = rows.withColumn("key", F.xxhash64("embedding"))
     # The k + 1 least ids of each vector; the limit holds before the shuffle, too.
     least = Window.partitionBy("key", "embedding").orderBy("vec_id")
     members = rows.dropDuplicates(["key", "embedding", "vec_id"]).withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= k + 1)
