@@ -252,7 +252,7 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 9_000) -> Model:
-    """Learn from labelled rows whose crc32(doc_id as text) mod 3 is not 1."""
+    """Learn from labelled rows whose crc32(doc_id as text) mod 3 is not 1; of rows that share a doc_id one stands for all."""
     known = pick(labels, doc_id="long", toxic="int").where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -266,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 9_000) -> Model
             x = own.matrix(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
-    rows = sample.mapInArrow(run, "doc_id long, toxic int, x array<double>").limit(2 * sample_rows).toPandas().sort_values("doc_id", kind="stable")
+    rows = sample.mapInArrow(run, "doc_id long, toxic int, x array<double>").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("x").alias("x")).toPandas().sort_values("doc_id", kind="stable")
     rows = rows.iloc[np.argsort(pd.util.hash_array(rows["doc_id"].to_numpy(np.int64)), kind="stable")]
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return Model(lexicon, x, rows["toxic"].to_numpy(np.float64))
@@ -296,7 +296,10 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_row
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = 9_000, rows: int = 1000) -> DataFrame:
     """The documents that are not rejected, with their columns, in one pass over the texts."""
     model = train(docs, labels, sample_rows)
-    at_text = docs.columns.index("text")
+    names = [c for c in docs.columns if c == "text"] or [c for c in docs.columns if c.lower() == "text"]
+    if not names:
+        raise ValueError("documents need a text")
+    at_text = docs.columns.index(names[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Features(model.lexicon)
