@@ -28,3 +28,12 @@ def test_stages(spark, tmp_path):
     assert all(ids["source_mix"].count(i) <= 2 for i in set(ids["source_mix"])) and sorted(ids["byte_bpe"]) == sorted(ids["source_mix"])
     for r in kept["byte_bpe"].collect():
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text), (2, text + " x"), (3, "other words entirely"), (None, text), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "DOC_ID long, text string")
+    out = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert out.columns == docs.columns and sorted((r[0] or 0) for r in out.collect()) == [0, 1, 3, 4, 5]
+    assert corpus_pipeline.drop_near_copies(spark, docs.where("false"), SF).count() == 0
