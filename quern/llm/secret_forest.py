@@ -187,11 +187,21 @@ def starts(steps: Column) -> Column:
 
 def findings(text: Column, forest: list) -> Column:
     """An array of (value, start, score) for a text's candidates, each where it stands; start counts characters from 0."""
-    named = F.filter(_findings(text, ASSIGNED, forest), lambda f: ~F.rlike(f["value"], F.lit(_RUN)) | ~F.rlike(f["value"], F.lit(CANDIDATE)))
-    return F.concat(_findings(text, CANDIDATE, forest), named)  # a candidate of both kinds comes once
+    named = F.filter(_places(text, ASSIGNED), lambda f: ~F.rlike(f["value"], F.lit(_RUN)) | ~F.rlike(f["value"], F.lit(CANDIDATE)))
+    found = F.concat(_places(text, CANDIDATE), named)  # a candidate of both kinds comes once
+
+    def measure(p: Column) -> Column:
+        return F.struct(p["value"].alias("value"), p["start"].alias("start"), F.array(*features(p["value"], p["before"], p["after"])).alias("x"))
+
+    def judged(p: Column) -> Column:
+        return F.struct(p["value"].alias("value"), p["start"].alias("start"), score(forest, [p["x"][i] for i in range(len(FEATURES))]).alias("score"))
+
+    # Both kinds are measured and judged by one expression, so that the forest is in the plan once.
+    return F.transform(F.transform(found, measure), judged)
 
 
-def _findings(text: Column, pattern: str, forest: list) -> Column:
+def _places(text: Column, pattern: str) -> Column:
+    """An array of (value, start, before, after) for the matches of a pattern."""
     # The text is gap, candidate, gap, ..., candidate, gap.
     walk = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
 
@@ -212,15 +222,8 @@ def _findings(text: Column, pattern: str, forest: list) -> Column:
 
         return F.transform(w["found"], place)
 
-    def measure(p: Column) -> Column:
-        return F.struct(p["value"].alias("value"), p["start"].alias("start"), F.array(*features(p["value"], p["before"], p["after"])).alias("x"))
-
-    def judged(p: Column) -> Column:
-        return F.struct(p["value"].alias("value"), p["start"].alias("start"), score(forest, [p["x"][i] for i in range(len(FEATURES))]).alias("score"))
-
     # A transform over one element names a value that is used often.
-    found = F.flatten(F.transform(F.transform(F.array(walk), placed), places))
-    return F.transform(F.transform(found, measure), judged)
+    return F.flatten(F.transform(F.transform(F.array(walk), placed), places))
 
 
 def scan(docs: DataFrame, forest: list, threshold: float = 0.5) -> DataFrame:
