@@ -33,7 +33,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in their texts are masked."""
-    return secret_forest.redact(docs, secret_forest.train(spark))
+    forest = secret_forest.train(spark)
+    tidy(spark)
+    return secret_forest.redact(docs, forest)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
