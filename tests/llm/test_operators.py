@@ -316,6 +316,15 @@ def test_secrets_of_unseen_forms(spark):
     assert n > 1000 and right > 0.8
 
 
+def test_secret_training_compiles(spark):
+    """No step of the training passes the limit of compiled code: tries to compile such a step fill the driver's memory."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")  # what does not compile then fails
+    try:
+        assert len(secret_forest.train(spark, trees=2, depth=2)) == 2
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
 def test_secrets_in_long_runs(spark):
     """Time follows the length: runs of a million characters without a candidate, and of assignments."""
     forest = secret_forest.train(spark)
