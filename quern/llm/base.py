@@ -16,6 +16,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Spark then deletes a query's shuffle files when the query ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Bytes of rows that a Python worker gets at once. Spark's own 64 MB are held two to three times: while the JVM's buffer
+#: doubles, as the sent message, and in the worker.
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 2 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -45,17 +50,21 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
     This cuts the lineage in a way that survives lost executors. The files go
     at the end of the Python process; the shuffle files of the write, which
-    nothing needs once the table stands, go at once.
+    nothing needs once the table stands, go at once. Python workers get rows of
+    BATCH_BYTES at a time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    own = {_CLEANUP: "true", _BATCH_BYTES: str(BATCH_BYTES)}
+    before = {key: spark.conf.get(key, None) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
     spark.sparkContext.setLocalProperty("spark.job.description", label)  # for the reader of the event log
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
         spark.sparkContext.setLocalProperty("spark.job.description", None)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)

@@ -3,7 +3,7 @@
 The tokenizers library runs the merges. Texts are cut into chunks at each place
 where a blank follows a visible character: no match of the pattern crosses such
 a place, so a text's ids are its chunks' ids in order. Each worker keeps the ids
-of chunks that it has met, and passes only new ones, many at once, to the
+of chunks that it has met last, and passes only others, many at once, to the
 library.
 
 Ids decode by the reverse byte table. A token may hold a part of a character, so
@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 
 from .base import pick
 
-#: Chunks that a worker remembers before it starts anew; a slice of rows may need more for its own time.
-MEMORY = 400_000
+#: Chunks that a worker remembers at most; a slice of rows may need more for its own time. Their memory stays with the
+#: worker in later operators, as what lives beside them keeps Python from giving it back.
+MEMORY = 200_000
 
 
 def byte_table() -> list[str]:
@@ -80,6 +81,7 @@ class Codec:
             self.bytes_of[rank] = bytes(back[c] for c in shown(token))
         self.width = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self.known: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -122,16 +124,22 @@ class Codec:
             own = self.ids(chunk) if chunk else []
             self.known[chunk] = (" ".join(map(str, own)), self.decode(own))
 
+    def remember(self, need: set[str]) -> None:
+        """Have the ids of all these chunks in ``known``. Of others those met last stay: what fills ``known`` becomes ``older``."""
+        new = need.difference(self.known)
+        if len(self.known) + len(new) > MEMORY // 2:
+            self.older, self.known = self.known, {}
+            new = need
+        again = new.intersection(self.older)
+        self.known.update((c, self.older[c]) for c in again)
+        self.learn(new.difference(again))
+
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Token count, digest of the ids, digest of the decoded bytes."""
         cut = [self.chunks(t) if t else [] for t in texts]
-        need = {c for one in cut for c in one}
-        new = need.difference(self.known)
-        if len(self.known) + len(new) > MEMORY:  # what these texts need stays
-            self.known = {c: self.known[c] for c in need.difference(new)}
-        self.learn(new)
+        self.remember({c for one in cut for c in one})
         known = self.known
-        if len(known) > MEMORY:
+        if len(known) > MEMORY // 2:
             self.known = {}
         for one in cut:
             got = [known[c] for c in one]
@@ -156,7 +164,7 @@ def _default(path: str | None, pattern: str | None) -> tuple[str, str]:
     return path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, rows: int = 500) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, rows: int = 100) -> DataFrame:
     """Every document's token count and the digests of its ids and of the bytes they decode to."""
     path, pattern = _default(path, pattern)
 

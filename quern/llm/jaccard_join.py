@@ -49,7 +49,8 @@ KEYS = 4
 MOST_MATCHES = 8
 #: Rounds of linking clusters at hubs before all pairs across clusters are made.
 STAR_ROUNDS = 2
-BATCH = 400
+#: Texts shingled at once; the arrays take some 100 bytes for each of their words.
+BATCH = 100
 
 
 def _signed(x: np.ndarray) -> np.ndarray:

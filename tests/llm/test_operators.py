@@ -9,12 +9,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from quern.llm import byte_bpe, hash_index, iblt, jaccard_join, quote_links, secret_forest, shard_tree, source_mix, toxicity, url_reputation
-from quern.llm.base import WORD
+from quern.llm.base import WORD, release, settle
 
 SCHEMA = "doc_id long, text string, source string, node long, token long, n long"
 BASE = [f"w{i} " for i in range(40)]
@@ -413,6 +414,34 @@ def test_bpe_slice_beyond_memory(monkeypatch):
     assert list(own.digests([first])) + list(own.digests([second, first])) == want and len(own.known) <= 20
 
 
+def test_bpe_chunks_met_last_stay(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMORY", 20)
+    own = byte_bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    learned, learn = [], own.learn
+    monkeypatch.setattr(own, "learn", lambda new: (learned.extend(new), learn(new)))
+    for i in range(60):
+        text = f"w{i} x{i} y{i}" + " often" * (i % 2)
+        assert [d[2] for d in own.digests([text])] == [hashlib.sha256(text.encode()).hexdigest()]
+        assert len(own.known) + len(own.older) <= 20
+    assert learned.count(" often") == 1
+
+
+def test_workers_get_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 3000).alias("text"))  # 12 MB in one partition
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["bytes", "n"])
+
+    seen = settle(rows.mapInArrow(run, "bytes long, n long"), "seen")
+    got = seen.collect()
+    release(seen)
+    assert max(r["bytes"] for r in got) < 3 << 20 and sum(r["n"] for r in got) == 4000
+    assert spark.conf.get(key) == before
+
+
 def test_quotes_said_later_at_home(spark):
     said = "A passage of more than a dozen letters"
     rows = [(1, 0, "user", f"> {said}\nis it so"), (1, 1, "assistant", said), (2, 3, "user", said), (3, 0, "user", said), (4, 0, "user", f"> {said}\nyes")]
