@@ -2,34 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.wrap import wide_sum, wrap
 from .filters import apply_filters
 
 
-def assign_blocks(pairs: DataFrame, rows_per_block: int = 1000, slices: int | None = None) -> DataFrame:
+#: Slices hold about this many pairs at least, so that small columns do not fall into small files.
+SLICE_ROWS = 100_000
+
+
+def _cut(pairs: DataFrame, bounds: list) -> DataFrame:
+    """Pairs with slice: how many of the sorted bounds are at most the id, found by halving.
+
+    Each step is a projection of its own, so that the work and the compiled code
+    of a row grow with the logarithm of the bounds.
+    """
+    known = F.array(*map(F.lit, bounds)).cast(f"array<{dict(pairs.dtypes)['id']}>")
+    at, step = F.col("slice"), 1 << len(bounds).bit_length() >> 1
+    rows = pairs.withColumn("slice", F.lit(0))
+    while step:
+        rows = rows.withColumn("slice", F.when(F.get(known, at + (step - 1)) <= F.col("id"), at + step).otherwise(at))  # null beyond the last
+        step >>= 1
+    return rows
+
+
+def assign_blocks(pairs: DataFrame, rows_per_block: int = 1000, slices: int | None = None, firsts: bool = False) -> DataFrame:
     """Pairs with block_id: every ``rows_per_block`` pairs in the order of id and value.
 
     No window runs over all rows: ids fall into slices at quantiles, each slice
-    is numbered by itself, and the slices' counts before it are added.
+    is numbered by itself, and the slices' counts before it are added. Bounds
+    and counts pass the driver, one of each a slice. Each partition of the result
+    is a slice, sorted, and slices follow each other; all pairs of an id share one.
+    ``firsts`` adds first: whether a pair is the first of its id in its block.
     """
     spark = pairs.sparkSession
-    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = [i / slices for i in range(1, slices)]
-    bounds = pairs.agg(F.percentile_approx("id", marks, 10_000)).first()[0] if marks else []
-    cut = F.lit(0)
-    for i, b in enumerate(sorted(set(bounds or []))):
-        cut = F.when(F.col("id") >= b, F.lit(i + 1)).otherwise(cut)
-    rows = pairs.withColumn("slice", cut)
-    counts = rows.groupBy("slice").agg(F.count("*").alias("n"))
-    past = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # one row a slice
-    starts = counts.select("slice", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("start"))
-    nth = F.row_number().over(Window.partitionBy("slice").orderBy("id", "value"))
-    rows = rows.withColumn("nth", nth).join(F.broadcast(starts), "slice")  # as many rows as slices
-    block = F.expr(f"(start + nth - 1) div {int(rows_per_block)}")
-    return rows.select(*pairs.columns, block.alias("block_id"))
+    most = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marks = [i / most for i in range(1, most)]
+    about = pairs.agg(F.count("*").alias("n"), *([F.percentile_approx("id", marks, 10_000).alias("bounds")] if marks else [])).first()
+    bounds = (about["bounds"] or []) if marks else []
+    if not slices:
+        keep = max(1, min(most, about["n"] // SLICE_ROWS))
+        bounds = [bounds[i * most // keep - 1] for i in range(1, keep)]
+    bounds = sorted(set(bounds))
+    rows = _cut(pairs, bounds)
+    counts = dict(rows.groupBy("slice").count().collect())
+    starts = [0]
+    for i in range(len(bounds)):
+        starts.append(starts[-1] + counts.get(i, 0))
+    order = Window.partitionBy("slice").orderBy("id", "value")
+    before = F.get(F.array(*map(F.lit, starts)).cast("array<bigint>"), F.col("slice"))
+    rows = rows.repartitionById(len(starts), "slice").withColumns({"nth": F.row_number().over(order) + before - 1, "past": F.lag("id").over(order)})
+    out = [*pairs.columns, F.expr(f"nth div {int(rows_per_block)}").alias("block_id")]
+    if firsts:
+        out.append((F.col("past").isNull() | (F.col("past") != F.col("id")) | (F.col("nth") % int(rows_per_block) == 0)).alias("first"))
+    return rows.select(*out)
 
 
 def dense_blocks(pairs: DataFrame, rows_per_block: int = 1000) -> DataFrame:
@@ -37,11 +65,11 @@ def dense_blocks(pairs: DataFrame, rows_per_block: int = 1000) -> DataFrame:
     return pairs.withColumn("block_id", F.expr(f"id div {int(rows_per_block)}"))
 
 
-def block_stats(blocks: DataFrame) -> DataFrame:
-    """One row a block: id and value ranges, exact sum, count and distinct ids."""
+def block_stats(blocks: DataFrame, distinct: Column | None = None) -> DataFrame:
+    """One row a block: id and value ranges, exact sum, count and distinct ids. ``distinct`` counts them where blocks tell, else a shuffle of all ids does."""
     return blocks.groupBy("block_id").agg(
         F.min("id").alias("min_id"), F.max("id").alias("max_id"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
-        wide_sum(F.col("value")).alias("sum"), F.count("*").alias("count"), F.countDistinct("id").alias("distinct_ids"),
+        wide_sum(F.col("value")).alias("sum"), F.count("*").alias("count"), (F.countDistinct("id") if distinct is None else distinct).alias("distinct_ids"),
     )
 
 

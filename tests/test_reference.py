@@ -192,6 +192,35 @@ def test_blocks_of_large_ids(spark):
     assert [r["block_id"] for r in blk.dense_blocks(p).orderBy("id").collect()] == [9007199254741000, BIG // 1000]
 
 
+def test_many_slices(spark, tmp_path):
+    """Work on a row grows with the logarithm of the slices, and one shuffle sorts; numbers and files are in order."""
+    rows = [(i * i % 4001 - 2000, i % 13) for i in range(6000)] + [(5, 5)] * 300 + [(BIG, 1), (-BIG - 1, 2), (BIG, 1)]
+    want = [(id, value, n // 7) for n, (id, value) in enumerate(sorted(rows))]
+    p = pairs_of(spark, rows).repartition(5)
+    for slices in (1, 2, 3, 8, 500):
+        got = blk.assign_blocks(p, 7, slices)
+        assert sorted(tuple(r) for r in got.select("id", "value", "block_id").collect()) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("CASE WHEN") <= 9 and plan.count("Exchange") == 2  # one of them is repartition's
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    write_column(spark.range(900_000).select((F.col("id") * 7 % 900_000).alias("id"), F.col("id").alias("value")), str(tmp_path / "c"))
+    c = StoredColumn(spark, str(tmp_path / "c"))
+    files = c.blocks.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).orderBy("lo").collect()
+    assert len(files) == int(few) and files[0]["lo"] == 0 and files[-1]["hi"] == 899_999
+    assert all(r["hi"] - r["lo"] + 1 == r["n"] < 150_000 for r in files)
+    for r in files:
+        stored = [x["id"] for x in spark.read.parquet(r["file"]).collect()]
+        assert stored == sorted(stored)
+    assert c.blocks.where("block_id <> id div 1000").count() == 0
+    c.check()
+    write_column(p, str(tmp_path / "r"), ColumnOptions(rows_per_block=7))
+    r = StoredColumn(spark, str(tmp_path / "r"))
+    assert sorted(map(tuple, r.stats.collect())) == sorted(map(tuple, blk.block_stats(r.blocks).collect()))
+    assert sorted(map(tuple, r.blocks.collect())) == want and r.stats.count() == len(want) // 7 + 1
+    write_column(p.where("false"), str(tmp_path / "e"))
+    assert StoredColumn(spark, str(tmp_path / "e")).about["total_items"] == 0
+
+
 def test_streamed_generations(spark, tmp_path):
     for b in range(2):
         pairs_of(spark, [(1, b), (b + 2, 5)]).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{b}"))
